@@ -32,7 +32,7 @@ from .common import Workspace, crc_fold, map_batches, slices
 FOLDS = 5
 HELD_OUT = 0
 THRESHOLD = 0.3
-SHRINK = 0.2
+SHRINK = 0.05
 PACK = 1 << 20
 _KIND = np.full(256, 4, np.uint8)  # 0 upper, 1 lower or beyond ASCII, 2 digit, 3 space, 4 sign
 _KIND[65:91], _KIND[97:123], _KIND[128:], _KIND[48:58] = 0, 1, 1, 2
@@ -44,8 +44,10 @@ FEATURES = (
 )
 
 
-def _logit(share: float, n: int) -> float:
-    p = (share * n + 0.5) / (n + 1)
+def _logit(share: float, n: int, usual: float) -> float:
+    """Log-odds of a share seen in ``n`` items; few items draw it to the usual one."""
+    p = (share * n + 20 * usual) / (n + 20)
+    p = min(max(p, 1e-4), 1 - 1e-4)
     return float(np.log(p / (1 - p)))
 
 
@@ -70,16 +72,16 @@ def statistics(text: str | None) -> list[float]:
     return [
         float(np.log1p(w)),
         float(np.log1p((n - kinds[3]) / max(w, 1))),
-        _logit(kinds[0] / max(letters, 1), min(letters, 300)),
+        _logit(kinds[0] / max(letters, 1), letters, 0.02),
         float(np.sqrt(kinds[2] / max(n, 1))),
-        _logit(kinds[4] / max(n, 1), min(n, 300)),
-        float(np.log1p(len(counts)) / np.log(w + 2)),
-        _logit(top / max(w, 1), min(w, 100)),
+        _logit(kinds[4] / max(n, 1), n, 0.03),
+        float(np.log1p(len(counts)) / np.log1p(max(w, 1))),
+        _logit(top / max(w, 1), w, 0.06),
         float(np.log((packed + 20) / (n + 60))),
-        _logit(ended / max(len(counts), 1), min(len(counts), 100)),
+        _logit(ended / max(len(counts), 1), len(counts), 0.01),
         float(np.log1p(w / ends)),
-        _logit(1 - pairs / max(w - 1, 1), min(w, 100)) if w > 1 else 0.0,
-        _logit(1 - len(set(lines)) / max(len(lines), 1), min(len(lines), 50)),
+        _logit(1 - pairs / (w - 1) if w > 1 else 0.0, max(w - 1, 0), 0.01),
+        _logit(1 - len(set(lines)) / max(len(lines), 1), len(lines), 0.01),
     ]
 
 
