@@ -27,11 +27,12 @@ PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProv
 STREAM_CONF = {
     "spark.sql.streaming.stateStore.providerClass": PROVIDER,
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # no space set aside for each of many stores
     "spark.sql.streaming.noDataMicroBatches.enabled": "false",
 }
-#: Bits of the map that tells rows of hit digests: 2048 blocks of 4 KiB at
-#: most, 8 MiB whatever the input.
-MAP_BITS = 1 << 26
+#: Bits of the map that tells rows of hit digests: 512 blocks of 4 KiB at
+#: most, 2 MiB whatever the input.
+MAP_BITS = 1 << 24
 
 
 def sha256(norm: Column) -> Column:
