@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, exact_dedup, quality, sharding, simhash
+from . import decontamination, exact_dedup, lm, quality, sharding, simhash
 from .common import table
 
 
@@ -20,6 +20,10 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(spark, table(spark, sf_dir, "documents"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup.dedup(spark, table(spark, sf_dir, "documents"))
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -63,6 +67,7 @@ WINDOW g AS (PARTITION BY norm)
 def queries() -> dict:
     return {
         "op1_sharding": op1_sharding,
+        "op2_lm_scoring": op2_lm_scoring,
         "op3_exact_dedup": op3_exact_dedup,
         "op5_decontamination": op5_decontamination,
         "op8_quality": op8_quality,
