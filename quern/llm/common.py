@@ -100,12 +100,18 @@ def map_batches(
 
     def run(batches):
         for out in fn(batches):
-            arrays = [pa.array(out[f.name], type=f.type) for f in arrow]
+            arrays = [_column(out[f.name], f.type) for f in arrow]
             yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
 
     return df.mapInArrow(run, schema)
 
 
+def _column(values, kind: pa.DataType) -> pa.Array:
+    if isinstance(values, pa.Array):
+        return values if values.type == kind else values.cast(kind)
+    return pa.array(values, type=kind)
+
+
 def slices(batch: pa.RecordBatch, max_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that each part holds about ``max_bytes`` of Arrow data.
 

@@ -27,9 +27,11 @@ from __future__ import annotations
 
 import heapq
 import re
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,6 +45,11 @@ REMEMBERED = 150_000
 LONGEST = 512  # a longer word isn't remembered
 
 
+def packed(ids: list[int]) -> bytes:
+    """Ids as little-endian 32-bit integers."""
+    return struct.pack(f"<{len(ids)}i", *ids)
+
+
 class Pieces:
     """Encodes and decodes with the pieces and scores of one model file."""
 
@@ -143,9 +150,9 @@ class Pieces:
                 heapq.heappush(todo, (-(forward[a] + s + tail), (*order, a), a, s + tail, (one, after)))
         return out
 
-    def first(self, word: str) -> tuple[float, float, int, str, bytes]:
+    def first(self, word: str) -> tuple[float, float, int, bytes, bytes]:
         """The search for two: score of the best, what the second loses against
-        it, and the best's number of pieces, ids as text, and decoded bytes.
+        it, and the best's number of pieces, packed ids, and decoded bytes.
 
         The second path leaves the best one at one place only, so it is the
         cheapest step off the best path among those that the search would queue.
@@ -163,9 +170,9 @@ class Pieces:
             b = on[0]
         flat = [i for one in reversed(ids) for i in one]
         text = self.text
-        return forward[-1], loses, len(flat), ",".join(map(str, flat)), b"".join([text[i] for i in flat])
+        return forward[-1], loses, len(flat), packed(flat), b"".join([text[i] for i in flat])
 
-    def seen(self, word: str) -> tuple[float, float, int, str, bytes]:
+    def seen(self, word: str) -> tuple[float, float, int, bytes, bytes]:
         found = self.known.get(word)
         if found is None:
             found = self.first(word)
@@ -181,22 +188,22 @@ class Pieces:
         """A mark is put before the text and for every space of it."""
         return self.unit.findall(SPACE + text.replace(" ", SPACE)) if text else []
 
-    def summary(self, text: str | None) -> tuple[float, float | None, int, str, bytes]:
+    def summary(self, text: str | None) -> tuple[float, float | None, int, bytes, bytes]:
         """Score of the best segmentation and of the second (None if there is
-        none), number of pieces, ids as text, and the decoded bytes."""
+        none), number of pieces, packed ids, and the decoded bytes."""
         text = text or ""
         if SPACE in text:
             score, ids = self.encode(text)
             joined = b"".join([self.text[i] for i in ids])
-            return score, None, len(ids), ",".join(map(str, ids)), joined
+            return score, None, len(ids), packed(ids), joined
         known = self.known.get
         parts = [known(u) or self.seen(u) for u in self.units(text)]
         if not parts:
-            return 0.0, None, 0, "", b""
+            return 0.0, None, 0, b"", b""
         best, loses, n, ids, back = zip(*parts)
         total, least = sum(best), min(loses)
         second = total - least if least < float("inf") else None
-        return total, second, sum(n), ",".join(ids), b"".join(back)
+        return total, second, sum(n), b"".join(ids), b"".join(back)
 
     def encode(self, text: str | None) -> tuple[float, list[int]]:
         """Score and piece ids of the best segmentation.
@@ -261,9 +268,9 @@ def read_model(spark: SparkSession, path: str = MODEL) -> bytes:
         return file.read()
 
 
-def encode(spark: SparkSession, docs: DataFrame, path: str = MODEL) -> DataFrame:
-    """Per row: doc_id, n_chars, n_pieces, best_score, second_score, ids (comma-joined)
-    and decoded (the text that the ids give)."""
+def encode(spark: SparkSession, docs: DataFrame, path: str = MODEL, pack: bool = False) -> DataFrame:
+    """Per row: doc_id, n_chars, n_pieces, best_score, second_score, ids (an array,
+    or little-endian 32-bit integers if ``pack``) and decoded (the text they give)."""
     sent = spark.sparkContext.broadcast(read_model(spark, path))
     kind = docs.schema["doc_id"].dataType.simpleString()
     names = ("n_chars", "n_pieces", "best_score", "second_score", "ids", "decoded")
@@ -276,17 +283,21 @@ def encode(spark: SparkSession, docs: DataFrame, path: str = MODEL) -> DataFrame
                 for text in part.column("text").to_pylist():
                     best, second, n, ids, back = pieces.summary(text)
                     rows.append((len(text or ""), n, best, second, ids, back[1:]))
-                yield {"doc_id": part.column("doc_id")} | dict(zip(names, map(list, zip(*rows))))
+                out = dict(zip(names, map(list, zip(*rows))))
+                if not pack:
+                    ends = np.concatenate(([0], np.cumsum(out["n_pieces"]))).astype(np.int32)
+                    out["ids"] = pa.ListArray.from_arrays(ends, np.frombuffer(b"".join(out["ids"]), "<i4"))
+                yield {"doc_id": part.column("doc_id")} | out
 
     return map_batches(
         docs.select("doc_id", "text"), run,
         f"doc_id {kind}, n_chars bigint, n_pieces bigint, best_score double, second_score double,"
-        " ids string, decoded string",
+        f" ids {'binary' if pack else 'array<int>'}, decoded string",
     )
 
 
 def decode(spark: SparkSession, encoded: DataFrame, path: str = MODEL) -> DataFrame:
-    """doc_id and text of rows with doc_id and ids (comma-joined); null ids give an empty text."""
+    """doc_id and text of rows with doc_id and ids (an array); null ids give an empty text."""
     sent = spark.sparkContext.broadcast(read_model(spark, path))
     kind = encoded.schema["doc_id"].dataType.simpleString()
 
@@ -294,7 +305,7 @@ def decode(spark: SparkSession, encoded: DataFrame, path: str = MODEL) -> DataFr
         pieces = _worker(sent.value)
         for batch in batches:
             for part in slices(batch):
-                text = [pieces.decode([*map(int, x.split(","))] if x else []) for x in part.column("ids").to_pylist()]
+                text = [pieces.decode(x or []) for x in part.column("ids").to_pylist()]
                 yield {"doc_id": part.column("doc_id"), "text": text}
 
     return map_batches(encoded.select("doc_id", "ids"), run, f"doc_id {kind}, text string")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, exact_dedup, lm, pieces, quality, sharding, simhash, toxicity
+from . import decontamination, exact_dedup, html_text, lm, pieces, pii, quality, sharding, simhash, toxicity
 from .common import table
 
 
@@ -29,6 +29,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.scan(table(spark, sf_dir, "documents"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     found = decontamination.scan(spark, docs, benchmark)
@@ -40,12 +44,16 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    found = pieces.encode(spark, docs)
+    found = pieces.encode(spark, docs, pack=True)
     return found.select(
         "doc_id", "n_chars", "n_pieces", "best_score", "second_score",
-        F.sha2(F.col("ids").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
     )
 
@@ -107,7 +115,9 @@ def queries() -> dict:
         "op1_sharding": op1_sharding,
         "op2_lm_scoring": op2_lm_scoring,
         "op3_exact_dedup": op3_exact_dedup,
+        "op4_pii": op4_pii,
         "op5_decontamination": op5_decontamination,
+        "op6_html_extraction": op6_html_extraction,
         "op7_sentencepiece": op7_sentencepiece,
         "op8_quality": op8_quality,
         "op9_simhash": op9_simhash,
