@@ -2,10 +2,40 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
 
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
 
-def oracle_sql() -> dict:
-    return {}
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a query; without SQL its rows only are checked."""
+
+    def put(fn: Query) -> Query:
+        _QUERIES[name] = fn
+        if sql:
+            _SQL[name] = sql
+        return fn
+
+    return put
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _load() -> None:
+    from . import corpus, dots, learning, modelling, pages, spelling, subwords, vectors  # noqa: F401
+
+
+def queries() -> dict[str, Query]:
+    _load()
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    _load()
+    return dict(_SQL)
