@@ -45,9 +45,9 @@ _UNIT = """CASE WHEN length(query) = 0 THEN length(word)::double WHEN length(wor
 _ALIKE = "MAP {" + ", ".join(f"'{a}': '{''.join(b)}'" for a, b in S.ALIKE.items()) + "}"
 _CONF = f"""
 dr AS (SELECT k, word FROM (SELECT k, {_draw("(SELECT count(*) FROM n)", "'42'", "'word'", "k")} + 1 AS rn FROM range(12000) r(k)) JOIN n USING (rn)),
-pos AS (SELECT k, word, list_filter(range(1, length(word) + 1), lambda i: map_contains({_ALIKE}, word[i])) AS at FROM dr),
-us AS (SELECT *, len(at) > 0 AND {_draw("100", "'42'", "'use'", "k")} < 85 AS u FROM pos),
-pl AS (SELECT *, word[CASE WHEN u THEN at[{_draw("greatest(len(at), 1)", "'42'", "'at'", "k")} + 1] ELSE {_draw("length(word)", "'42'", "'any'", "k")} + 1 END] AS a FROM us),
+pos AS (SELECT k, word, list_filter(range(1, length(word) + 1), lambda i: map_contains({_ALIKE}, word[i])) AS spots FROM dr),
+us AS (SELECT *, len(spots) > 0 AND {_draw("100", "'42'", "'use'", "k")} < 85 AS u FROM pos),
+pl AS (SELECT *, word[CASE WHEN u THEN spots[{_draw("greatest(len(spots), 1)", "'42'", "'at'", "k")} + 1] ELSE {_draw("length(word)", "'42'", "'any'", "k")} + 1 END] AS a FROM us),
 ch AS (SELECT a, CASE WHEN u THEN {_ALIKE}[a][{_draw(f"greatest(coalesce(length({_ALIKE}[a]), 1), 1)", "'42'", "'twin'", "k")} + 1]
   ELSE '{S.ALPHABET}'[{_draw(str(len(S.ALPHABET)), "'42'", "'letter'", "k")} + 1] END AS b FROM pl),
 conf AS (SELECT a, b, count(*) AS cnt FROM ch WHERE a <> b GROUP BY a, b)
@@ -114,9 +114,9 @@ def confusion_top(spark, sf):
 
 def _weighted(spark, sf):
     v = vocabulary(spark, sf).persist()
-    typos = _typos(v)
+    typos = _typos(v).persist()
     found = S.with_fallback(typos.select("query").distinct(), v)
-    priced = found.crossJoin(F.broadcast(S.costs(_confusions(v))))  # one row
+    priced = found.crossJoin(F.broadcast(S.costs(_confusions(v).persist())))  # one row
     distance = T.weighted_distance(F.col("query"), F.col("word"), F.col("costs"))
     return S.suggest(priced, F.round(distance, 6)), typos
 
