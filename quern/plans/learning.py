@@ -1 +1,103 @@
-"""x"""
+"""Queries on labels, metrics and trained classifiers."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..operators import learning as L
+from .corpus import WORDS_SQL, documents, word_rows
+from .registry import query, table
+
+_P = """
+WITH y AS (SELECT doc_id, lang AS y, CASE WHEN ('0x' || md5('p~' || doc_id)[1:8])::bigint % 4 = 0
+  THEN (['en', 'fr', 'de', 'es'])[('0x' || md5('q~' || doc_id)[1:8])::bigint % 4 + 1] ELSE lang END AS p FROM documents)
+"""
+
+
+def _guesses(spark, sf):
+    pick = T.draw(F.lit("q"), F.col("doc_id"), below=4)
+    other = F.get(F.array(*map(F.lit, ("en", "fr", "de", "es"))), pick)
+    wrong = T.draw(F.lit("p"), F.col("doc_id"), below=4) == 0
+    return table(spark, sf, "documents").select("doc_id", F.col("lang").alias("y"), F.when(wrong, other).otherwise(F.col("lang")).alias("prediction"))
+
+
+@query("label_dist", "SELECT lang AS label, count(*) AS n FROM documents GROUP BY lang")
+def label_dist(spark, sf):
+    return table(spark, sf, "documents").groupBy(F.col("lang").alias("label")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "class_weights",
+    "SELECT lang, count(*) AS n, round((SELECT count(*) FROM documents) / ((SELECT count(DISTINCT lang) FROM documents) * count(*)), 6) AS weight FROM documents GROUP BY lang",
+)
+def class_weights(spark, sf):
+    return L.class_weights(table(spark, sf, "documents"), "lang").withColumn("weight", F.round("weight", 6))
+
+
+@query(
+    "metrics_multiclass",
+    f"""{_P}, l AS (SELECT DISTINCT unnest([y, p]) AS label FROM y),
+        c AS (SELECT label, count(*) FILTER (WHERE y = label AND p = label) AS tp, count(*) FILTER (WHERE p = label) AS said,
+          count(*) FILTER (WHERE y = label) AS support FROM y, l GROUP BY label),
+        m AS (SELECT *, CASE WHEN said = 0 THEN 0 ELSE tp / said END AS pr, CASE WHEN support = 0 THEN 0 ELSE tp / support END AS rc FROM c),
+        f AS (SELECT *, CASE WHEN pr + rc = 0 THEN 0 ELSE 2 * pr * rc / (pr + rc) END AS f1 FROM m)
+        SELECT round(sum(tp) / sum(support), 6) AS accuracy, round(avg(pr), 6) AS macro_precision, round(avg(rc), 6) AS macro_recall,
+          round(avg(f1), 6) AS macro_f1, round(sum(pr * support) / sum(support), 6) AS weighted_precision,
+          round(sum(rc * support) / sum(support), 6) AS weighted_recall, round(sum(f1 * support) / sum(support), 6) AS weighted_f1 FROM f""",
+)
+def metrics_multiclass(spark, sf):
+    rows = L.multiclass_metrics(_guesses(spark, sf))
+    return rows.select(*(F.round(c, 6).alias(c) for c in rows.columns))
+
+
+@query(
+    "metrics_binary",
+    """WITH r AS (SELECT toxic AS y, (('0x' || md5('b~' || doc_id)[1:8])::bigint % 3 = 0)::int AS p FROM labels),
+       t AS (SELECT count(*) AS n, sum((y = 1 AND p = 1)::int) AS tp, sum((y <> 1 AND p = 1)::int) AS fp, sum((y = 1 AND p <> 1)::int) AS fn, sum((y = p)::int) AS ok FROM r)
+       SELECT n, round(ok / n, 6) AS accuracy, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall, round(2 * tp / (2 * tp + fp + fn), 6) AS f1 FROM t""",
+)
+def metrics_binary(spark, sf):
+    said = (T.draw(F.lit("b"), F.col("doc_id"), below=3) == 0).cast("int")
+    rows = table(spark, sf, "labels").select(F.col("toxic").alias("y"), said.alias("prediction"))
+    m = L.binary_metrics(rows)
+    return m.select("n", *(F.round(c, 6).alias(c) for c in m.columns[1:]))
+
+
+@query(
+    "paired_test",
+    f"""{_P}, d AS (SELECT (p = y)::int - ('en' = y)::int AS d FROM y)
+        SELECT count(*) AS n, count(*) FILTER (WHERE d > 0) AS only_a, count(*) FILTER (WHERE d < 0) AS only_b,
+        round(avg(d) / (stddev_samp(d) / sqrt(count(*))), 6) AS t FROM d""",
+)
+def paired_test(spark, sf):
+    rows = _guesses(spark, sf).withColumn("b", F.lit("en"))
+    return L.paired(rows, "y", "prediction", "b").withColumn("t", F.round("t", 6))
+
+
+@query(
+    "nb_counts",
+    f"""SELECT lang AS label, word, count(*) AS cnt, count(DISTINCT doc_id) AS docs
+        FROM (SELECT doc_id, lang, unnest({WORDS_SQL}) AS word FROM documents) GROUP BY ALL""",
+)
+def nb_counts(spark, sf):
+    return L.nb_counts(word_rows(spark, sf), table(spark, sf, "documents").select("doc_id", F.col("lang").alias("label")))
+
+
+def _classified(spark, sf, kind):
+    rows = documents(spark, sf).select("doc_id", F.col("lang").alias("label"), T.words(F.col("text")).alias("words"))
+    rows = rows.withColumn("fold", F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(10)))
+    if kind == "logistic":
+        rows = rows.join(F.broadcast(L.class_weights(rows, "label").select("label", "weight")), "label")
+    model = L.bag_classifier(rows.where("fold < 8"), kind)
+    return L.multiclass_metrics(model.transform(rows.where("fold >= 8")))
+
+
+for _kind in ("logistic", "multinomial", "bernoulli"):
+    query(f"classify_{_kind}")(lambda spark, sf, kind=_kind: _classified(spark, sf, kind))
+
+
+@query("word_vectors")
+def word_vectors(spark, sf):
+    rows = documents(spark, sf).select(F.explode(T.sentence_words(F.col("text"))).alias("words")).where(F.size("words") > 1)
+    return L.word_vectors(rows, size=16, epochs=1).getVectors().select("word", F.col("vector").cast("string").alias("vector"))
