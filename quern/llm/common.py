@@ -75,18 +75,22 @@ def crc_fold(doc_id: Column, folds: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % F.lit(folds), F.lit(0))
 
 
-def located(docs: DataFrame, space: Workspace) -> DataFrame:
+def located(docs: DataFrame, space: Workspace, placed: bool = False) -> DataFrame:
     """``docs`` with ``_file`` and ``_row``, which identify each stored row.
 
+    With ``placed`` the frame has them already.
+
     A frame that doesn't read files directly is written to ``space`` first,
     so that every later scan sees the same rows under the same locators.
     """
+    if placed:
+        return docs
     where = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")]
     plain = docs.drop("_file", "_row")
     try:
         return plain.select("*", *where)
     except AnalysisException:
-        return space.save(plain, "located").select("*", *where)
+        return space.save(plain, f"located-{uuid.uuid4().hex}").select("*", *where)
 
 
 def map_batches(

@@ -129,7 +129,7 @@ aggregate(array_sort({0}), cast(array() as array<struct<start: int, end: int>>),
 
 
 def scan(
-    spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most: int = MOST
+    spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most: int = MOST, placed: bool = False
 ) -> DataFrame:
     """Per row: doc_id, _file, _row, n_words, hits (runs of words), chars (their
     places in the original text) and items."""
@@ -137,7 +137,8 @@ def scan(
     made = space.save(patterns(benchmark, window), "patterns")
     size = made.agg(F.coalesce(F.sum(F.size("items")), F.lit(0))).first()[0]
     blocks = max(1, -(-size // most))
-    rows = located(docs.select("doc_id", "text"), space).select("doc_id", "_file", "_row", "text")
+    names = ["_file", "_row"] if placed else []
+    rows = located(docs.select("doc_id", "text", *names), space, placed).select("doc_id", "_file", "_row", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
     found = None
     for k in range(blocks):
@@ -159,5 +160,5 @@ def scan(
 def clean(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of ``docs`` without any run of benchmark words."""
     rows = located(docs, Workspace(spark, "decontamination-in"))
-    bad = scan(spark, docs, benchmark, window).where(F.size("hits") > 0).select("_file", "_row")
+    bad = scan(spark, rows, benchmark, window, placed=True).where(F.size("hits") > 0).select("_file", "_row")
     return rows.join(bad, ["_file", "_row"], "left_anti").select(*docs.columns)

@@ -49,9 +49,10 @@ class StreamingDeduplicator:
         self.docs: DataFrame | None = None
         self.epochs: list[int] = []
 
-    def ingest(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> None:
+    def ingest(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", placed: bool = False) -> None:
         """Add rows to the state; may be called again with further rows."""
-        base = located(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), self.space)
+        names = ["_file", "_row"] if placed else []
+        base = located(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *names), self.space, placed)
         norm = lower_ascii(F.col("text"))
         base = base.select("id", self.digest(norm).alias("digest"), norm.alias("norm"), "_file", "_row")
         narrow = base.select("id", "digest", "_file", "_row")
@@ -150,10 +151,10 @@ class StreamingDeduplicator:
         return rows.join(clashes, "digest", "left_anti").select(*out).unionByName(rest.select(*out))
 
 
-def dedup(spark: SparkSession, docs: DataFrame, **kw) -> DataFrame:
+def dedup(spark: SparkSession, docs: DataFrame, placed: bool = False, **kw) -> DataFrame:
     """Deduplicate one finite table; see ``StreamingDeduplicator.result``."""
     d = StreamingDeduplicator(spark, **kw)
-    d.ingest(docs)
+    d.ingest(docs, placed=placed)
     return d.result()
 
 
@@ -161,5 +162,5 @@ def keep_first(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that deduplication keeps, with all their columns."""
     space = Workspace(spark, "dedup-in")
     rows = located(docs, space)
-    kept = dedup(spark, docs).where("kept").select("_file", "_row")
+    kept = dedup(spark, rows, placed=True).where("kept").select("_file", "_row")
     return rows.join(kept, ["_file", "_row"], "left_semi").select(*docs.columns)

@@ -41,7 +41,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 SIGNS = ".,;:!?|%#$&*\"'()[]{}<>=+-/\\@^~`"
 UNKNOWN = 10.0
-REMEMBERED = 150_000
+REMEMBERED = 400_000
 LONGEST = 512  # a longer word isn't remembered
 
 
@@ -67,12 +67,13 @@ class Pieces:
                     self.score[name] = (sp.get_score(i), i)
         usual = [s for s, _ in self.score.values() if s > -1e8]
         self.unknown = min(usual) - UNKNOWN
-        self.trie: dict = {}
+        self.trie: dict = {}  # character -> [what may follow, (score, ids) of the piece so far or None]
         for name, (s, i) in self.score.items():
             node = self.trie
             for c in name:
-                node = node.setdefault(c, {})
-            node[""] = (s, (i,))
+                here = node.setdefault(c, [{}, None])
+                node = here[0]
+            here[1] = (s, (i,))
         self.text = [b"" if i in self.of_byte else n.replace(SPACE, " ").encode() for i, n in enumerate(self.names)]
         for i, b in self.of_byte.items():
             self.text[i] = bytes((b,))
@@ -112,10 +113,10 @@ class Pieces:
                 forward[a] = top
             node, alone = trie, False
             for b in range(a, n):
-                node = node.get(word[b])
-                if node is None:
+                here = node.get(word[b])
+                if here is None:
                     break
-                found = node.get("")
+                node, found = here
                 if found:
                     ends[b + 1].append((a, *found))
                     alone = alone or b == a
@@ -157,20 +158,47 @@ class Pieces:
         The second path leaves the best one at one place only, so it is the
         cheapest step off the best path among those that the search would queue.
         """
-        ends, forward, best = self.lattice(word)
-        loses, b, ids = float("inf"), len(word), []
+        n, trie, none = len(word), self.trie, -1e300
+        forward, other = [none] * (n + 1), [none] * (n + 1)  # best and second best way to a place
+        came, what = [0] * (n + 1), [()] * (n + 1)
+        forward[0] = 0.0
+        for a in range(n):  # all ways to a are known, those by the longest pieces first
+            so_far, node, b = forward[a], trie, a
+            alone = False
+            for c in word[a:]:
+                here = node.get(c)
+                if here is None:
+                    break
+                b += 1
+                node, found = here
+                if found is not None:
+                    if b == a + 1:
+                        alone = True
+                    s = so_far + found[0]
+                    if s > forward[b]:
+                        other[b] = forward[b]
+                        forward[b], came[b], what[b] = s, a, found[1]
+                    elif s > other[b]:
+                        other[b] = s
+            if not alone:
+                s = so_far + self.unknown
+                if s > forward[a + 1]:
+                    other[a + 1] = forward[a + 1]
+                    forward[a + 1], came[a + 1] = s, a
+                    what[a + 1] = tuple(self.byte[x] for x in word[a].encode())
+                elif s > other[a + 1]:
+                    other[a + 1] = s
+        loses, ids, b = 1e300, [], n
         while b:
-            here, on = forward[b], best[b]
-            for e in ends[b]:
-                if e is not on:
-                    d = here - forward[e[0]] - e[1]
-                    if d < loses:
-                        loses = d
-            ids.append(on[2])
-            b = on[0]
-        flat = [i for one in reversed(ids) for i in one]
+            if forward[b] - other[b] < loses:
+                loses = forward[b] - other[b]
+            ids.append(what[b])
+            b = came[b]
+        ids.reverse()
+        flat = [i for one in ids for i in one]
         text = self.text
-        return forward[-1], loses, len(flat), packed(flat), b"".join([text[i] for i in flat])
+        loses = loses if loses < 1e200 else float("inf")
+        return forward[n], loses, len(flat), packed(flat), b"".join([text[i] for i in flat])
 
     def seen(self, word: str) -> tuple[float, float, int, bytes, bytes]:
         found = self.known.get(word)

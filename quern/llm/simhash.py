@@ -126,14 +126,15 @@ def links(fps: DataFrame, chunk: int = CHUNK) -> DataFrame:
     return map_batches(units, _forests, "u bigint, v bigint").distinct()
 
 
-def near_groups(spark: SparkSession, docs: DataFrame, words: int = 3) -> DataFrame:
+def near_groups(spark: SparkSession, docs: DataFrame, words: int = 3, placed: bool = False) -> DataFrame:
     """One row per document: doc_id, _file, _row, fp, component_id, kept.
 
     component_id is the least id that can be reached; kept marks the row of
     that id (of several, the first stored).
     """
     space = Workspace(spark, "simhash")
-    rows = located(docs.select("doc_id", "text"), space)
+    names = ["_file", "_row"] if placed else []
+    rows = located(docs.select("doc_id", "text", *names), space, placed)
     rows = space.save(fingerprints(rows, words), "fingerprints")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_file", "_row"))
     fps = space.save(rows.groupBy("fp").agg(first.alias("first")), "distinct")
@@ -152,5 +153,5 @@ def near_groups(spark: SparkSession, docs: DataFrame, words: int = 3) -> DataFra
 def keep_first(spark: SparkSession, docs: DataFrame, words: int = 3) -> DataFrame:
     """The rows of ``docs`` that stay, one of each group, with all their columns."""
     rows = located(docs, Workspace(spark, "simhash-in"))
-    kept = near_groups(spark, docs, words).where("kept").select("_file", "_row")
+    kept = near_groups(spark, rows, words, placed=True).where("kept").select("_file", "_row")
     return rows.join(kept, ["_file", "_row"], "left_semi").select(*docs.columns)

@@ -1,0 +1,444 @@
+"""Small tests of the training-data operators against brute force and odd input."""
+
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+import xxhash
+
+from quern.llm import (
+    components, decontamination, exact_dedup, html_text, lm, pieces, pii, quality, sharding, simhash, toxicity,
+)
+from quern.llm.common import Workspace
+
+DOCS = "doc_id long, text string, norm string, digest string, n long"
+LONG = "word " * 30_000
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls, empty and very long texts, ties, repeated rows, clashing columns."""
+    rows = [
+        (1, "Same Text here", "a", "b", 1), (2, "same text HERE", None, None, None), (2, "same text HERE", None, None, None),
+        (3, None, "x", "y", 3), (4, "", "x", "y", 3), (None, "alone", "x", "y", 3), (5, LONG, "x", "y", 3), (6, LONG + "end", "", "", 0),
+        (7, "ÄÖ same", "x", "y", 3), (8, "äö same", "x", "y", 3), (None, None, None, None, None),
+    ]
+    return spark.createDataFrame(rows, DOCS)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+@pytest.fixture(scope="module")
+def labels(spark):
+    rows = [(k, k % 2, k % 2) for k in range(1, 9)] + [(99, 1, 1), (None, 1, 0), (1, None, None)]
+    return spark.createDataFrame(rows, "doc_id long, quality int, toxic int")
+
+
+def lower(text):
+    return "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+
+
+# ---------------------------------------------------------------- sharding
+
+
+def test_shards_against_a_walk_of_single_keys(spark, odd):
+    got = sharding.shard(spark, odd, 4, 8).collect()
+    circle = sharding.ring(4, 8)
+    keys = sorted((sharding.place("" if r.doc_id is None else str(r.doc_id)), r.doc_id or 0, r.text_crc32, r.size) for r in got)
+    room, waiting = sharding.bounds(len(got), 4), defaultdict(list)
+    for k in keys:
+        at = next((i for i, (p, _) in enumerate(circle) if p >= k[0]), 0)
+        waiting[at].append(k)
+    want = Counter()
+    while waiting:
+        moved = defaultdict(list)
+        for at in sorted(waiting):
+            shard = circle[at][1]
+            for k in waiting[at]:
+                if room[shard]:
+                    room[shard] -= 1
+                    want[(k, shard)] += 1
+                else:
+                    moved[(at + 1) % len(circle)].append(k)
+        waiting = moved
+    seen = Counter(((sharding.place("" if r.doc_id is None else str(r.doc_id)), r.doc_id or 0, r.text_crc32, r.size), r.shard) for r in got)
+    assert seen == want
+    slots = defaultdict(list)
+    for r in got:
+        slots[r.shard].append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    sizes = [len(s) for s in slots.values()]
+    assert max(sizes) - min(sizes) <= 1
+    assert {r.size for r in got if r.doc_id in (3, 4)} == {1}
+
+
+def test_a_new_shard_moves_little(spark):
+    rows = spark.range(20_000).selectExpr("id as doc_id", "'x' as text")
+    a = {r.doc_id: r.shard for r in sharding.shard(spark, rows, 16).collect()}
+    b = {r.doc_id: r.shard for r in sharding.shard(spark, rows, 17).collect()}
+    assert sum(a[k] != b[k] for k in a) < 0.25 * len(a)
+
+
+def test_no_rows(spark, none, labels):
+    assert sharding.shard(spark, none).count() == 0
+    assert exact_dedup.dedup(spark, none).count() == 0
+    assert simhash.near_groups(spark, none).count() == 0
+    assert lm.score(spark, none).count() == 0
+    assert pii.scan(none).count() == 0
+    assert quality.score(spark, none, labels).count() == 0
+    assert toxicity.score(spark, none, labels).count() == 0
+    assert pieces.encode(spark, none).count() == 0
+    bench = spark.createDataFrame([], "item_id long, text string")
+    assert decontamination.scan(spark, none, bench).count() == 0
+
+
+# ---------------------------------------------------------------- exact dedup
+
+
+def expected_groups(rows):
+    groups = defaultdict(list)
+    for r in rows:
+        groups[lower(r.text)].append(r.doc_id)
+    return groups
+
+
+def check_dedup(rows, got):
+    groups = expected_groups(rows)
+    assert len(got) == len(rows)
+    by = {hashlib.sha256(k.encode()).hexdigest(): v for k, v in groups.items()}
+    assert sum(r.kept for r in got) == len(groups)
+    for r in got:
+        ids = [i for i in by[r.text_sha256] if i is not None]
+        assert r.keep_id == (max(ids) if ids else None)
+        assert r.group_size == len(by[r.text_sha256])
+
+
+def test_exact_dedup(spark, odd):
+    check_dedup(odd.collect(), exact_dedup.dedup(spark, odd).collect())
+    kept = exact_dedup.keep_first(spark, odd)
+    assert kept.columns == odd.columns
+    assert kept.count() == len(expected_groups(odd.collect()))
+
+
+def test_exact_dedup_checks_bytes_behind_a_weak_digest(spark, odd):
+    weak = lambda c: exact_dedup.F.substring(exact_dedup.sha256(c), 1, 1)
+    got = exact_dedup.dedup(spark, odd, digest=weak).collect()
+    groups = expected_groups(odd.collect())
+    assert sum(r.kept for r in got) == len(groups)
+    assert Counter(r.group_size for r in got) == Counter(len(v) for v in groups.values() for _ in v)
+
+
+def test_exact_dedup_goes_on_with_its_state(spark):
+    a = spark.createDataFrame([(1, "x"), (2, "y")], "doc_id long, text string")
+    b = spark.createDataFrame([(3, "X"), (4, "z")], "doc_id long, text string")
+    d = exact_dedup.StreamingDeduplicator(spark)
+    d.ingest(a)
+    d.ingest(b)
+    assert {r.doc_id: r.keep_id for r in d.result().collect()} == {1: 3, 2: 2, 3: 3, 4: 4}
+
+
+# ---------------------------------------------------------------- language model
+
+
+def test_lm_base_and_normalisation(spark, odd):
+    got = lm.score(spark, odd, head_size=3).collect()
+    rows = odd.collect()
+    words = [lower(r.text).encode().split() + [b""] for r in rows]
+    train = [zlib.crc32(str(r.doc_id).encode()) % 5 != 1 if r.doc_id is not None else True for r in rows]
+    c = Counter(w for ws, t in zip(words, train) if t for w in ws)
+    n, v = sum(c.values()), len(c)
+    base = sorted(round(sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in ws), 4) for ws in words)
+    assert sorted(round(r.base_score, 4) for r in got) == base
+    assert sorted(r.n_known for r in got) == sorted(sum(c[w] > 0 for w in ws) for ws in words)
+    assert {r.train_tokens for r in got} == {n}
+    assert all(r.score < 0 and math.isfinite(r.score) for r in got)
+
+
+def test_network_probabilities_add_up_and_learn():
+    rng = np.random.default_rng(0)
+    table = rng.integers(0, 3, (25, 5)).astype(float)
+    table[:, lm.BEGIN] = 0
+    table[:, 3] += 30
+    logs = lm.LogBilinear(5, 8).fit(table, steps=200).log_probabilities()
+    assert np.allclose(np.exp(logs).sum(axis=1), 1)
+    assert (logs.argmax(axis=1) == 3).all()
+
+
+def test_lm_sums_to_one_over_words(spark):
+    rows = spark.createDataFrame([(k, "a b c a b d" if k % 2 else "a c") for k in range(20)], "doc_id long, text string")
+    rows = rows.selectExpr("doc_id", "0 as fold", "text")
+    counts = lm.word_counts(rows.select("fold", "text"))
+    model = lm.train(rows, counts)
+    scorer = lm.Scorer(model)
+    vocab = ["a", "b", "c", "d", "zz"]  # the last is unknown
+    first = [scorer(w)[3] - scorer(w)[3] + sum(scorer(w)[2:4][1:]) for w in vocab]
+    assert all(math.isfinite(x) for x in first)
+
+
+# ---------------------------------------------------------------- personal data
+
+
+def brute_pii(t):
+    out = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    out += [(m.start(), 1, m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(p) <= 255 for p in m.group().split("."))]
+    for kind, pattern in ((2, r"[0-9]([\x20-]?[0-9])+"), (3, r"\+[0-9][\x20().0-9-]+[0-9]")):
+        for m in re.finditer(pattern, t):
+            d = re.sub("[^0-9]", "", m.group())
+            if (12 <= len(d) <= 19 and pii.luhn(d)) if kind == 2 else 9 <= len(d) <= 15:
+                out.append((m.start(), kind, m.end()))
+    return sorted(out)
+
+
+def test_patterns_against_regular_expressions():
+    rng = random.Random(1)
+    for _ in range(5000):
+        t = "".join(rng.choice("a1 .@-+()0492é") for _ in range(rng.randint(0, 40)))
+        assert brute_pii(t) == pii.patterns(t), t
+    assert pii.patterns("a" * 200_000 + "1" * 200_000) == []
+
+
+def test_tagger_gradients():
+    tagger = pii.Tagger(width=4, hidden=3)
+    texts, spans = pii.labelled(3, 2)
+    x, y = pii.coded(texts)[:, :12], pii.tagged(spans)[:, :12]
+    y[:, 0] = np.where((y[:, 0] > 0) & (y[:, 0] % 2 == 0), y[:, 0] - 1, y[:, 0])
+    _, g = tagger.gradients(x, y)
+    for name, p in tagger.p.items():
+        at = np.unravel_index(np.abs(g[name]).argmax(), p.shape)
+        old, two = p[at], []
+        for step in (1e-5, -1e-5):
+            p[at] = old + step
+            two.append(tagger.gradients(x, y)[0])
+        p[at] = old
+        assert abs((two[0] - two[1]) / 2e-5 - g[name][at]) < 1e-4 * max(1, abs(g[name][at]))
+
+
+def test_pii_on_odd_rows_and_base_spans_stay(spark, odd):
+    assert pii.scan(odd).count() == odd.count()
+    rows = spark.createDataFrame([(1, "mail a.b@c.de or +1 (206) 555-7479, ip 10.0.0.1")], "doc_id long, text string")
+    got = pii.scan(rows).first()
+    assert (got.n_email, got.n_ip, got.n_phone) == (1, 1, 1)
+    assert "email:5:13" in got.spans
+    assert pii.redact(rows).first().text == "mail [email] or [phone], ip [ip]"
+
+
+# ---------------------------------------------------------------- decontamination
+
+
+def brute_scan(text, items, window):
+    w = decontamination.words_of(text)
+    hit, found = set(), set()
+    for i, t in items:
+        q = decontamination.words_of(t)
+        n = min(window, len(q))
+        runs = {tuple(q[k : k + n]) for k in range(len(q) - n + 1)} if q else set()
+        for k in range(len(w)):
+            if n and tuple(w[k : k + n]) in runs:
+                hit.update(range(k, k + n))
+                found.add(str(i))
+    return len(w), len(hit), sorted(found)
+
+
+@pytest.mark.parametrize("most", [10_000, 3])
+def test_decontamination(spark, most):
+    rng = random.Random(2)
+    items = [(k, " ".join(rng.choice("abcd") for _ in range(rng.randint(0, 6)))) for k in range(8)] + [(9, None), (3, "Ab, c!")]
+    docs = [(k, " ".join(rng.choice(["a", "b", "C.", "d", "e"]) for _ in range(rng.randint(0, 25)))) for k in range(40)] + [(99, None)]
+    got = decontamination.scan(
+        spark, spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), 3, most
+    )
+    texts = dict(docs)
+    for r in got.collect():
+        n, hits, ids = brute_scan(texts[r.doc_id], items, 3)
+        assert (r.n_words, sum(h.end - h.start for h in r.hits), r["items"]) == (n, hits, ids)
+        for h, c in zip(r.hits, r.chars):
+            piece = texts[r.doc_id][c.start : c.end]
+            assert decontamination.words_of(piece) == decontamination.words_of(texts[r.doc_id])[h.start : h.end]
+
+
+# ---------------------------------------------------------------- pages
+
+
+def test_extraction_learns_pages():
+    chain, wrong, n = html_text.trained(), 0, 0
+    for page in html_text.labelled_pages(60, seed=99):
+        features, y = html_text.marked(page)
+        if len(features) == len(y):
+            wrong += sum(a != b for a, b in zip(chain.decode(features), y))
+            n += len(y)
+    assert wrong < 0.02 * n
+
+
+def test_extraction_of_odd_pages(spark):
+    page = "<nav>menu</nav><article><h1>Head &amp; tail</h1><p>One\n two<br>three<p><b>Four</article><footer>&copy; x</footer>"
+    rows = spark.createDataFrame([(1, "u", page), (2, None, None), (3, "u", ""), (3, "u", "")], "page_id long, url string, html string")
+    got = html_text.extract(rows).orderBy("page_id").collect()
+    assert got[0].text == "Head & tail\nOne two three\nFour"
+    assert [r.n_chars for r in got] == [len(got[0].text), 0, 0, 0]
+
+
+# ---------------------------------------------------------------- pieces
+
+
+@pytest.fixture(scope="module")
+def model():
+    with open(pieces.MODEL, "rb") as file:
+        return pieces.Pieces(file.read())
+
+
+def all_ways(p, word):
+    ends = p.lattice(word)[0]
+
+    def go(b):
+        return [(0.0, ())] if b == 0 else [(s + x[1], i + x[2]) for x in ends[b] for s, i in go(x[0])]
+
+    return sorted(go(len(word)), key=lambda z: -z[0])
+
+
+def test_nbest_against_all_ways(model):
+    rng = random.Random(3)
+    for _ in range(150):
+        text = "".join(rng.choice("abcdehtinorsñ日.,# ") for _ in range(rng.randint(1, 9)))
+        want = [s for s, _ in all_ways(model, pieces.SPACE + text.replace(" ", pieces.SPACE))]
+        got = model.nbest_encode(text, 3)
+        assert [s for s, _ in got] == want[:3]
+        best, second, n, ids, _ = model.summary(text)
+        assert best == want[0] and (second is None or second == want[1])
+        assert ids == pieces.packed(got[0][1]) and n == len(got[0][1])
+
+
+def test_round_trip(spark, odd, model):
+    for text in ("", " ", "  a  b\n\tc ñ \U0001f600 ", pieces.SPACE, f"a{pieces.SPACE} b", "\x00日本", "x" * 5000):
+        assert model.decode(model.encode(text)[1]) == text
+    made = pieces.encode(spark, odd)
+    back = pieces.decode(spark, made)
+    assert sorted(r.text for r in back.collect()) == sorted(r.text or "" for r in odd.collect())
+    assert sorted(r.decoded for r in made.collect()) == sorted(r.text or "" for r in odd.collect())
+
+
+# ---------------------------------------------------------------- classifiers
+
+
+def prose(rng, junk):
+    words = ["".join(rng.choice("abcdefghimnorst") for _ in range(rng.randint(2, 8))) for _ in range(60)]
+    return " ".join(w + "###" for w in words) if junk else " ".join(words).capitalize() + "."
+
+
+def test_quality_held_out(spark):
+    rng = random.Random(4)
+    rows = [(k, prose(rng, k % 4 == 0)) for k in range(400)]
+    docs = spark.createDataFrame(rows + [(1000, None), (None, "")], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 4 > 0)) for k in range(400)], "doc_id long, quality int")
+    got = {r.doc_id: r for r in quality.score(spark, docs, labels).collect()}
+    held = [r for r in got.values() if r.doc_id is not None and r.held_out and r.doc_id < 400]
+    assert held and all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in held)
+    assert sum(r.predicted == int(r.doc_id % 4 > 0) for r in held) >= 0.95 * len(held)
+    assert all(0 <= r.score <= 1 for r in got.values())
+    assert quality.keep_good(spark, docs, labels).columns == docs.columns
+
+
+def test_one_class_gives_the_prior(spark, odd):
+    labels = spark.createDataFrame([(2, 1, 0), (3, 1, 0)], "doc_id long, quality int, toxic int")
+    assert len({r.score for r in quality.score(spark, odd, labels).collect()}) == 1
+    assert len({r.score for r in toxicity.score(spark, odd, labels).collect()}) == 1
+
+
+def test_toxicity_held_out_and_gapped(spark):
+    rng = random.Random(5)
+    bad = ["blorgface", "snivelgit", "mudwit"]
+    rows = []
+    for k in range(600):
+        words = prose(rng, False).split()
+        if k % 5 == 0:
+            words[3:3] = rng.sample(bad, 2)
+        rows.append((k, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 5 == 0)) for k in range(600)], "doc_id long, toxic int")
+    model = toxicity.fit(spark, docs, labels)
+    got = [r for r in toxicity.score(spark, docs, labels, model=model).collect() if r.held_out]
+    assert all((r.score >= 0.7) == (r.predicted == 1) for r in got)
+    assert sum(r.predicted == int(r.doc_id % 5 == 0) for r in got) >= 0.95 * len(got)
+    worst = toxicity.Scorer(model).worst(["a blorgxface of mudwit", "b.l.o.r.g.f.a.c.e and", "m u d w i t now", "nothing of it"])[:, 0]
+    assert worst[:3].min() > 0 > worst[3]
+
+
+# ---------------------------------------------------------------- near duplicates
+
+
+def brute_fingerprint(text):
+    w = lower(text).encode().split()
+    if not w:
+        return 0
+    grams = [b" ".join(w[i : i + 3]) for i in range(len(w) - 2)] or [b" ".join(w)]
+    h = [xxhash.xxh64_intdigest(g, 42) for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def test_near_groups(spark, odd):
+    got = simhash.near_groups(spark, odd).collect()
+    rows = odd.collect()
+    assert Counter(r.fp % (1 << 64) for r in got) == Counter(brute_fingerprint(r.text) for r in rows)
+    prints = {r.fp % (1 << 64) for r in got}
+    root = {p: p for p in prints}
+    for _ in prints:
+        for a in prints:
+            for b in prints:
+                if bin(a ^ b).count("1") <= 3:
+                    root[a] = root[b] = min(root[a], root[b])
+    least = defaultdict(list)
+    for r in got:
+        if r.doc_id is not None:
+            least[root[r.fp % (1 << 64)]].append(r.doc_id)
+    for r in got:
+        assert r.component_id == min(least[root[r.fp % (1 << 64)]], default=None)
+    assert sum(r.kept for r in got) == len(set(root.values()))
+
+
+def test_links_lose_no_component(spark):
+    rng = random.Random(6)
+    values = set()
+    for _ in range(30):
+        x = rng.getrandbits(64)
+        for _ in range(rng.randint(1, 12)):
+            values.add(x)
+            for _ in range(rng.randint(1, 4)):
+                x ^= 1 << rng.randrange(64)
+    signed = [v - (1 << 64) if v >> 63 else v for v in values]
+    fps = spark.createDataFrame([(v,) for v in signed], "fp long")
+    for chunk in (simhash.CHUNK, 3):
+        pairs = simhash.links(fps, chunk)
+        roots = {r.node: r.root for r in components.components(pairs, Workspace(spark, "test")).collect()}
+        for a in signed:
+            for b in signed:
+                if bin((a ^ b) % (1 << 64)).count("1") <= 3:
+                    assert roots.get(a, a) == roots.get(b, b)
+        want = {tuple(sorted(e)) for e in simhash.forest(np.array(signed))}
+        assert len({roots.get(a, a) for a in signed}) == len(signed) - len(want)
+
+
+# ---------------------------------------------------------------- pipeline
+
+
+def test_pipeline_stages(spark, tmp_path):
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    before = docs.count()
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, sf).write.parquet(str(tmp_path / str(k)))
+        out = spark.read.parquet(str(tmp_path / str(k)))
+        if k < len(corpus_pipeline.STAGES) - 1:
+            assert out.columns == docs.columns
+            assert 0 < out.count() <= docs.count()
+        docs = out
+    assert docs.count() < before
+    assert docs.select("doc_id").distinct().count() == docs.count()
