@@ -119,13 +119,15 @@ def _scan(rows: DataFrame, made: list[tuple[str, list[str]]], kind: str) -> Data
 
 
 _LOWER = {65 + k: 97 + k for k in range(26)}
+#: Runs that touch or overlap become one; the places in the original text go with them.
 _MERGE = """
-aggregate(array_sort({0}), cast(array() as array<struct<start: int, end: int>>), (done, x) ->
-  case when size(done) > 0 and element_at(done, -1).end >= x.start
-       then concat(slice(done, 1, size(done) - 1), array(struct(element_at(done, -1).start as start,
-            greatest(element_at(done, -1).end, x.end) as end)))
+aggregate(array_sort(flatten(collect_list(arrays_zip(hits, chars)))), cast(array() as array<struct<hits: {0}, chars: {0}>>), (done, x) ->
+  case when size(done) > 0 and element_at(done, -1).hits.end >= x.hits.start
+       then concat(slice(done, 1, size(done) - 1), array(named_struct(
+            'hits', named_struct('start', element_at(done, -1).hits.start, 'end', greatest(element_at(done, -1).hits.end, x.hits.end)),
+            'chars', named_struct('start', element_at(done, -1).chars.start, 'end', greatest(element_at(done, -1).chars.end, x.chars.end)))))
        else concat(done, array(x)) end)
-"""
+""".format("struct<start: int, end: int>")
 
 
 def scan(
@@ -150,11 +152,10 @@ def scan(
     merged = found.groupBy("_file", "_row").agg(
         F.first("doc_id").alias("doc_id"),
         F.first("n_words").alias("n_words"),
-        F.flatten(F.collect_list("hits")).alias("hits"),
-        F.flatten(F.collect_list("chars")).alias("chars"),
+        F.expr(_MERGE).alias("runs"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
     )
-    return merged.withColumns({c: F.expr(_MERGE.format(c)) for c in ("hits", "chars")}).select(*found.columns)
+    return merged.withColumns({c: F.col(f"runs.{c}") for c in ("hits", "chars")}).select(*found.columns)
 
 
 def clean(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
