@@ -9,7 +9,7 @@ on the mapped words of labelled sentences.
 Labels are known for texts, not words, so the training is that of several
 instances: a toxic text is represented by its worst words, a clean text by
 all of them, and which words are the worst is settled in rounds. A text's
-score is the calibrated from the decisions of its two worst words.
+score is calibrated from the decisions of its two worst words.
 
 As the decision is linear in the kernel it folds into one weight for each
 sequence of three letters, so a word costs a few look-ups, and every distinct
@@ -17,6 +17,7 @@ word of a task is scored once.
 
 Words are lower-cased and bared of outer signs; a word with inner signs is
 also read without them, and single letters in a row are also read as one word.
+Mail and web addresses are no words.
 
 Defined cases: a null, empty or wordless text has the score of no evidence;
 labels without a toxic mark or without a document teach nothing; without both
@@ -50,13 +51,15 @@ TOXIC, CLEAN = 2000, 4000
 DECAY = 0.7
 SPAN = 7  # letters that a sequence may span
 LONG, OVERLAP = 24, 8
-LANDMARKS = 128
+LANDMARKS = 256
+PENALTY = 3e-5  # of the calibration
 MOST_LETTERS = 62
 REMEMBERED = 400_000
 _PAIRS = np.array([(a, b) for b in range(2, SPAN) for a in range(1, b)])
 _WEIGHT = (DECAY ** (_PAIRS[:, 1] + 1)).astype(np.float32)
 _OUTER = re.compile(r"^[\W_]+|[\W_]+$")
 _INNER = re.compile(r"[\W\d_]+")
+_ADDRESS = re.compile(r"\w@\w|://")
 
 
 def words_of(text: str | None) -> set[str]:
@@ -65,6 +68,8 @@ def words_of(text: str | None) -> set[str]:
     out = set()
     for w in set(tokens):
         if not w.isalpha():
+            if _ADDRESS.search(w):
+                continue
             w = _OUTER.sub("", w)
             if w and not w.isalpha():
                 out.add(_INNER.sub("", w))
@@ -201,7 +206,7 @@ class Model:
 
 def _features(worst: np.ndarray) -> np.ndarray:
     """The second word may confirm the first but not outweigh it."""
-    return np.column_stack((worst[:, 0].clip(-1.5, 1.5), worst[:, 1].clip(-0.3, 0.3), np.ones(len(worst))))
+    return np.column_stack((worst[:, 0].clip(-1, 1), worst[:, 1].clip(-0.3, 0.3), np.ones(len(worst))))
 
 
 class Scorer:
@@ -264,7 +269,12 @@ def _varied(words: list[str], most: int) -> list[str]:
     return out
 
 
-def train(toxic: list[set[str]], clean: list[set[str]], share: float, rounds: int = 2, seed: int = 3) -> Model:
+def _tells(n: int, usual: float) -> bool:
+    """Whether ``n`` texts are far more than the usual number, and not by chance (Chernoff's bound)."""
+    return n > 4 * usual and n * np.log(n / usual) - n + usual > 12
+
+
+def train(toxic: list[set[str]], clean: list[set[str]], share: float, rounds: int = 3, seed: int = 3) -> Model:
     """toxic, clean: the words of labelled texts; share: of toxic among all labelled."""
     if len(toxic) < 2 or len(clean) < 2:
         return Model(share)
@@ -275,12 +285,7 @@ def train(toxic: list[set[str]], clean: list[set[str]], share: float, rounds: in
     for to, texts in ((in_toxic, apart), (in_clean, clean)):
         for ws in texts:
             to.update({g for w in ws for g in _grams(w)})
-    least = max(2, len(apart) // 100)
-    telling = {
-        g
-        for g, n in in_toxic.items()
-        if n > least and (n + 0.5) / len(apart) > 20 * (in_clean[g] + 0.5) / len(clean)
-    }
+    telling = {g for g, n in in_toxic.items() if _tells(n, (in_clean[g] + 0.5) * len(apart) / len(clean))}
     witness = [w for ws in apart for w in sorted(ws) if w not in clean_words and not telling.isdisjoint(_grams(w))]
     if not witness:
         return Model(share)
@@ -288,13 +293,14 @@ def train(toxic: list[set[str]], clean: list[set[str]], share: float, rounds: in
     others = sorted(set(clean_words) - set(common))
     rng.shuffle(others)
     negative = common + others[:6000]
-    model = None
+    hard: list[str] = []
     for k in range(rounds):
-        positive = [w for w, _ in Counter(witness).most_common(4000)]
+        seen = Counter(witness).most_common(4000)
+        positive = [w for w, _ in seen]
         more = _inserted(positive, rng)
         letters = Letters([f"^{w}$" for w in positive + negative])
-        half = LANDMARKS // 2
-        pick = _varied(positive, half)
+        pick = _varied(positive, LANDMARKS // 2)
+        pick += _varied(hard, LANDMARKS // 4)
         pick += [negative[i] for i in rng.permutation(len(negative))[: LANDMARKS - len(pick)]]
         kernel = Kernel(letters, list(dict.fromkeys(f"^{w}$"[:LONG] for w in pick)))
         gram = kernel(kernel.landmarks).astype(float)
@@ -304,7 +310,9 @@ def train(toxic: list[set[str]], clean: list[set[str]], share: float, rounds: in
         x = kernel([f"^{w}$"[:LONG] for w in words]).astype(float) @ root
         y = np.array([1.0] * (len(positive) + len(more)) + [-1.0] * len(negative))
         often = np.log1p([clean_words[w] for w in words]) + 1
-        weight = np.where(y > 0, 1 / (y > 0).sum(), often / often[y < 0].sum())
+        times = dict(seen)
+        found = np.array([float(times.get(w, 1)) for w in words]) ** 0.5
+        weight = np.where(y > 0, found / found[y > 0].sum(), often / often[y < 0].sum())
         w, bias = _svm(x, y, weight)
         table = np.zeros(letters.size**3, np.float32)
         table[kernel.row > 0] = (kernel.table @ (root @ w))[kernel.row[kernel.row > 0]]
@@ -344,8 +352,8 @@ def _calibrate(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float,
     p = start.copy()
     for _ in range(60):
         q = 1 / (1 + np.exp(-(z @ p).clip(-30, 30)))
-        g = z.T @ (weight * (q - y)) + 3e-4 * (p - start)
-        h = (z * (weight * q * (1 - q))[:, None]).T @ z + 3e-4 * np.eye(3)
+        g = z.T @ (weight * (q - y)) + PENALTY * (p - start)
+        h = (z * (weight * q * (1 - q))[:, None]).T @ z + PENALTY * np.eye(3)
         p = p - np.linalg.solve(h, g).clip(-2, 2)
     return tuple(float(x) for x in p)
 
