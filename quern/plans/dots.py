@@ -38,7 +38,7 @@ def dot_labels(spark, sf):
     return D.examples(_docs(spark, sf)).select("doc_id", "i", "y", D.vetoed(F.col("y")).alias("kept"), "snippet")
 
 
-_INPUTS = [
+INPUTS = [
     "prev_char", "prev2_char", "next_char", "next2_char", "prev_is_digit", "next_is_digit", "prev_is_upper", "next_is_upper", "next_is_space",
     "next_is_closing", "prev_word", "next_word", "prev_word_len", "next_word_len", "prev_single_upper", "next_token_upper", "is_decimal", "is_short",
 ]
@@ -47,7 +47,7 @@ _INPUTS = [
 def _fitted(spark, sf):
     rows = D.examples(_docs(spark, sf)).withColumn("fold", F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(10)))
     rows = rows.persist()
-    model = L.dot_classifier(rows.where("fold < 8"), _INPUTS)
+    model = L.dot_classifier(rows.where("fold < 8"), INPUTS)
     from pyspark.ml.functions import vector_to_array
 
     return model.transform(rows).withColumn("p", vector_to_array("probability")[1])

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import corpus as C
+from ..operators import embeddings, lexicon, recurrent
 from ..operators import learning as L
+from ..operators import matrices as M
 from .corpus import WORDS_SQL, documents, word_rows
 from .registry import query, table
 
@@ -97,6 +100,34 @@ for _kind in ("logistic", "multinomial", "bernoulli"):
     query(f"classify_{_kind}")(lambda spark, sf, kind=_kind: _classified(spark, sf, kind))
 
 
+@query(
+    "lexicon_scores",
+    f"""WITH w AS (SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest({WORDS_SQL}) AS word FROM documents) GROUP BY ALL),
+        x AS (SELECT doc_id, n, CASE WHEN word IN ('the', 'la', 'und') THEN 1.5 WHEN word IN ('of', 'de', 'en') THEN -0.5 ELSE 0 END::double AS v FROM w),
+        s AS (SELECT doc_id, sum(CASE WHEN v > 0 THEN n * (v + 1) ELSE 0 END) AS p, sum(CASE WHEN v < 0 THEN n * (1 - v) ELSE 0 END) AS m,
+          sum(CASE WHEN v = 0 THEN n ELSE 0 END) AS z, sum(n * v) AS s FROM x GROUP BY doc_id)
+        SELECT doc_id, round(p / (p + m + z), 6) AS pos, round(m / (p + m + z), 6) AS neg, round(z / (p + m + z), 6) AS neu,
+          round(s / sqrt(s * s + 15), 6) AS compound FROM s""",
+)
+def lexicon_scores(spark, sf):
+    known = [(w, 1.5) for w in ("the", "la", "und")] + [(w, -0.5) for w in ("of", "de", "en")]
+    rows = lexicon.scores(word_rows(spark, sf), F.broadcast(spark.createDataFrame(known, "word string, valence double")))
+    return rows.select("doc_id", *(F.round(c, 6).alias(c) for c in rows.columns[1:]))
+
+
+@query("recurrent_grid")
+def recurrent_grid(spark, sf):
+    """Languages told by recurrent networks from the documents' mean word vectors."""
+    words = word_rows(spark, sf)
+    top = C.top(C.frequencies(words, "word"), "word", 200).persist()
+    vectors = embeddings.reduced(M.ppmi(words, top, 4), "ppmi", 12)
+    docs = C.stratified(table(spark, sf, "documents").select("doc_id", "lang"), "lang")
+    names = F.create_map(*(F.lit(x) for k, n in enumerate(("de", "en", "es", "fr")) for x in (n, k)))
+    rows = M.mean_vectors(words, F.broadcast(vectors)).join(docs, "doc_id")
+    rows = rows.select(F.lit("pmi").alias("feature"), "doc_id", "split", names[F.col("lang")].cast("int").alias("y"), "vec")
+    return recurrent.train_grid(rows, hidden=16, epochs=4, most=1000)
+
+
 @query("word_vectors")
 def word_vectors(spark, sf):
     rows = documents(spark, sf).select(F.explode(T.sentence_words(F.col("text"))).alias("words")).where(F.size("words") > 1)
