@@ -58,8 +58,8 @@ def sentences(spark, sf):
 
 
 def _events(spark, sf):
-    s = sentences(spark, sf)
-    vocab = N.vocabulary(s)
+    s = sentences(spark, sf).persist()
+    vocab = N.vocabulary(s).persist()
     return N.events(s, vocab), vocab
 
 
