@@ -31,8 +31,8 @@ of the least MD5 of their ids; everything else covers all rows.
 from __future__ import annotations
 
 import heapq
+import math
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -48,6 +48,7 @@ FOLDS = 3
 HELD_OUT = 1
 THRESHOLD = 0.7
 TOXIC, CLEAN = 2000, 4000
+COPY = 0.8
 DECAY = 0.7
 SPAN = 7  # letters that a sequence may span
 LONG, OVERLAP = 24, 8
@@ -280,7 +281,7 @@ def train(toxic: list[set[str]], clean: list[set[str]], share: float, rounds: in
         return Model(share)
     rng = np.random.default_rng(seed)
     clean_words = Counter(w for ws in clean for w in ws)
-    apart = _unlike(toxic, clean_words, len(clean))
+    apart = _unlike(toxic)
     in_toxic, in_clean = Counter(), Counter()
     for to, texts in ((in_toxic, apart), (in_clean, clean)):
         for ws in texts:
@@ -323,26 +324,33 @@ def train(toxic: list[set[str]], clean: list[set[str]], share: float, rounds: in
             witness = []
             for ws in apart:
                 best = sorted(ws, key=lambda z: (-got[z], z))[:5]
-                witness += [z for z in best if got[z] > 0 or z == best[0]]
+                witness += [z for z in best if got[z] > 0 and not telling.isdisjoint(_grams(z))]
             hard = sorted(clean_words, key=lambda z: (-got[z], z))[:1500]
             negative = list(dict.fromkeys(hard + common + others[:5000]))
-            witness = [z for z in witness if z not in clean_words] or witness
+            witness = [z for z in witness if z not in clean_words] or witness or positive
     worst = worst_two([[got[w] for w in ws] for ws in toxic + clean], bias)
     y = np.array([1.0] * len(toxic) + [0.0] * len(clean))
     weight = np.where(y > 0, share / len(toxic), (1 - share) / len(clean))
     return Model(share, letters, table, bias, _calibrate(_features(worst), y, weight))
 
 
-def _unlike(texts: list[set[str]], common: Counter, n: int) -> list[set[str]]:
-    """The texts without copies: two of the same least hash count as one."""
-    seen: set[tuple[int, int]] = set()
-    out = []
+def _unlike(texts: list[set[str]]) -> list[set[str]]:
+    """The texts without copies: of those with ``COPY`` of all their words in common, the first.
+
+    Two texts with that share of words have one among the rarest few of each,
+    so only texts that meet there are compared, and no copy is missed.
+    """
+    times = Counter(w for ws in texts for w in ws)
+    met: dict[str, list[int]] = {}
+    out: list[set[str]] = []
     for ws in texts:
-        rare = [w.encode() for w in ws if common[w] * 20 < n]
-        keys = {(s, min((zlib.crc32(w, s) for w in rare), default=0)) for s in (1, 2, 3)}
-        if seen.isdisjoint(keys):
-            out.append(ws)
-        seen |= keys
+        few = sorted(ws, key=lambda w: (times[w], w))[: len(ws) - math.ceil(COPY * len(ws) - 1e-9) + 1]
+        near = {k for w in few for k in met.get(w, ())}
+        if any(len(ws & out[k]) >= COPY * len(ws | out[k]) for k in near) or (not ws and ws in out):
+            continue
+        for w in few:
+            met.setdefault(w, []).append(len(out))
+        out.append(ws)
     return out
 
 

@@ -370,6 +370,19 @@ def test_toxicity_held_out_and_gapped(spark):
     assert worst[:3].min() > 0 > worst[3]
 
 
+def test_toxic_texts_that_share_a_word_are_no_copies():
+    texts = [{"mudwit"} | {f"w{k}x{j}" for j in range(9)} for k in range(40)]
+    assert toxicity._unlike(texts) == texts
+    assert toxicity._unlike([{"mudwit"}, {"snivelgit"}, set(), {"mudwit"}, set()]) == [{"mudwit"}, {"snivelgit"}, set()]
+    rng = random.Random(7)
+    texts = [set(rng.sample("abcdefghijkl", rng.randint(1, 12))) for _ in range(300)]
+    kept = []
+    for ws in texts:
+        if all(len(ws & o) < 0.8 * len(ws | o) for o in kept):
+            kept.append(ws)
+    assert toxicity._unlike(texts) == kept
+
+
 # ---------------------------------------------------------------- near duplicates
 
 
