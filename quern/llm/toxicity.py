@@ -17,7 +17,7 @@ word of a task is scored once.
 
 Words are lower-cased and bared of outer signs; a word with inner signs is
 also read without them, and single letters in a row are also read as one word.
-Mail and web addresses are no words.
+Whole mail addresses and links are no words; what else their token holds is read.
 
 Defined cases: a null, empty or wordless text has the score of no evidence;
 labels without a toxic mark or without a document teach nothing; without both
@@ -60,7 +60,9 @@ _PAIRS = np.array([(a, b) for b in range(2, SPAN) for a in range(1, b)])
 _WEIGHT = (DECAY ** (_PAIRS[:, 1] + 1)).astype(np.float32)
 _OUTER = re.compile(r"^[\W_]+|[\W_]+$")
 _INNER = re.compile(r"[\W\d_]+")
-_ADDRESS = re.compile(r"\w@\w|://")
+_ADDRESS = re.compile(
+    r"(?:https?|s?ftps?|wss?|file|ssh|git)://[^\s<>\"'(){}|,;]+|(?<![\w.+%-])[\w.+%-]++@(?:[\w-]+\.)+[^\W\d_]{2,}"
+)
 
 
 def words_of(text: str | None) -> set[str]:
@@ -69,12 +71,19 @@ def words_of(text: str | None) -> set[str]:
     out = set()
     for w in set(tokens):
         if not w.isalpha():
-            if _ADDRESS.search(w):
-                continue
-            w = _OUTER.sub("", w)
-            if w and not w.isalpha():
-                out.add(_INNER.sub("", w))
-        out.add(w)
+            if "@" in w or "://" in w:
+                parts = _ADDRESS.sub(" ", w).split()
+                if len(parts) > 1:
+                    out.add(_INNER.sub("", "".join(parts)))
+            else:
+                parts = [w]
+            for w in parts:
+                w = _OUTER.sub("", w)
+                if w and not w.isalpha():
+                    out.add(_INNER.sub("", w))
+                out.add(w)
+        else:
+            out.add(w)
     run: list[str] = []
     last = -2
     for k in [k for k, w in enumerate(tokens) if len(w) == 1]:

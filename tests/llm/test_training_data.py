@@ -383,6 +383,13 @@ def test_toxic_texts_that_share_a_word_are_no_copies():
     assert toxicity._unlike(texts) == kept
 
 
+def test_only_whole_addresses_are_no_words():
+    assert {"id@iot", "idiot"} <= toxicity.words_of("id@iot") and "bstard" in toxicity.words_of("b@stard,")
+    assert "mudwit" in toxicity.words_of("mudwithttps://a.example/x?y=1") & toxicity.words_of("https://a.example/x,mudwit")
+    assert "mudwit" in toxicity.words_of("mudwit:joe.p@mail.example.org") & toxicity.words_of("mud://wit")
+    assert toxicity.words_of("joe.p@mail.example.org <https://a.example/mudwit>") == set()
+
+
 # ---------------------------------------------------------------- near duplicates
 
 
