@@ -120,12 +120,12 @@ def recurrent_grid(spark, sf):
     """Languages told by recurrent networks from the documents' mean word vectors."""
     words = word_rows(spark, sf)
     top = C.top(C.frequencies(words, "word"), "word", 200).persist()
-    vectors = embeddings.reduced(M.ppmi(words, top, 4), "ppmi", 12)
+    vectors = embeddings.reduced(M.ppmi(words, top, 4), "ppmi")
     docs = C.stratified(table(spark, sf, "documents").select("doc_id", "lang"), "lang")
     names = F.create_map(*(F.lit(x) for k, n in enumerate(("de", "en", "es", "fr")) for x in (n, k)))
     rows = M.mean_vectors(words, F.broadcast(vectors)).join(docs, "doc_id")
     rows = rows.select(F.lit("pmi").alias("feature"), "doc_id", "split", names[F.col("lang")].cast("int").alias("y"), "vec")
-    return recurrent.train_grid(rows, hidden=16, epochs=4, most=1000)
+    return recurrent.train_grid(rows)
 
 
 @query("word_vectors")

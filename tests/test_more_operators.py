@@ -111,6 +111,12 @@ def test_recurrent_grid(spark):
     assert sum(r.y == r.prediction for r in got) > 0.9 * len(got)
 
 
+def test_recurrent_grid_reads_all_test_rows(spark):
+    rows = [("f", k, ("train", "dev", "test")[k % 3], k // 3 % 2, [float(k // 3 % 2), 1.0]) for k in range(90)]
+    got = recurrent.train_grid(spark.createDataFrame(rows, "feature string, doc_id long, split string, y int, vec array<double>"), ("rnn",), 4, 1, most=5)
+    assert sorted(r.doc_id for r in got.collect()) == list(range(2, 90, 3))
+
+
 def test_mcnemar():
     assert mcnemar(0, 0) == 1.0 and abs(mcnemar(1, 9) - 22 / 1024) < 1e-12
 
