@@ -29,7 +29,7 @@ import heapq
 import re
 import struct
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -80,6 +80,12 @@ class Pieces:
         self.unit = re.compile(self._units())
         self.known: dict[str, tuple] = {}
 
+    @cached_property
+    def mark(self) -> tuple[float, float, int, bytes, bytes]:
+        """What ``first`` gives for a mark of the text itself: its bytes, in one way only."""
+        sign = SPACE.encode()
+        return self.unknown, float("inf"), len(sign), packed([self.byte[x] for x in sign]), sign
+
     @staticmethod
     def _inner(name: str) -> bool:
         return SPACE in name.lstrip(SPACE)
@@ -216,16 +222,24 @@ class Pieces:
         """A mark is put before the text and for every space of it."""
         return self.unit.findall(SPACE + text.replace(" ", SPACE)) if text else []
 
+    def marked(self, text: str) -> list[str | None]:
+        """The units of a text, with None for each mark that it has itself."""
+        first, *rest = text.split(SPACE)
+        out: list[str | None] = list(self.unit.findall(SPACE + first.replace(" ", SPACE))) if text else []
+        for part in rest:
+            out.append(None)
+            out.extend(self.unit.findall(part.replace(" ", SPACE)))
+        return out
+
     def summary(self, text: str | None) -> tuple[float, float | None, int, bytes, bytes]:
         """Score of the best segmentation and of the second (None if there is
         none), number of pieces, packed ids, and the decoded bytes."""
         text = text or ""
-        if SPACE in text:
-            score, ids = self.encode(text)
-            joined = b"".join([self.text[i] for i in ids])
-            return score, None, len(ids), packed(ids), joined
         known = self.known.get
-        parts = [known(u) or self.seen(u) for u in self.units(text)]
+        if SPACE in text:
+            parts = [self.mark if u is None else known(u) or self.seen(u) for u in self.marked(text)]
+        else:
+            parts = [known(u) or self.seen(u) for u in self.units(text)]
         if not parts:
             return 0.0, None, 0, b"", b""
         best, loses, n, ids, back = zip(*parts)
@@ -238,26 +252,15 @@ class Pieces:
 
         A mark that the text has itself is written as bytes.
         """
-        total, ids = 0.0, []
-        for k, part in enumerate((text or "").split(SPACE)):
-            if k:
-                total += self.unknown
-                ids.extend(self.byte[x] for x in SPACE.encode())
-            marked = part.replace(" ", SPACE)
-            for u in self.unit.findall(SPACE + marked if k == 0 and text else marked):
-                (score, one), = self.search(u, 1)
-                total += score
-                ids.extend(one)
-        return total, ids
+        (found,) = self.nbest_encode(text, 1)
+        return found
 
     def nbest_encode(self, text: str | None, n: int) -> list[tuple[float, list[int]]]:
-        """The ``n`` best segmentations of a whole text with their scores.
-
-        A text that has the mark itself gives its best one only.
-        """
-        if text and SPACE in text:
-            return [self.encode(text)]
-        parts = [self.search(u, n) for u in self.units(text or "")]
+        """The ``n`` best segmentations of a whole text with their scores."""
+        parts = [
+            [(self.unknown, tuple(self.byte[x] for x in SPACE.encode()))] if u is None else self.search(u, n)
+            for u in self.marked(text or "")
+        ]
         total = sum(p[0][0] for p in parts)
         return [
             (total - lost, [x for k, p in enumerate(parts) for x in p[picked.get(k, 0)][1]])

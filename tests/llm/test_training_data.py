@@ -315,6 +315,24 @@ def test_nbest_against_all_ways(model):
         assert ids == pieces.packed(got[0][1]) and n == len(got[0][1])
 
 
+def test_nbest_of_texts_with_the_mark(model):
+    rng = random.Random(4)
+    for _ in range(150):
+        text = "".join(rng.choice("abethn \u2581") for _ in range(rng.randint(1, 8))) + pieces.SPACE
+        parts = text.replace(" ", "\0").split(pieces.SPACE)
+        want = [model.unknown * (len(parts) - 1)]
+        for k, part in enumerate(parts):
+            unit = (pieces.SPACE if k == 0 else "") + part.replace("\0", pieces.SPACE)
+            want = [a + b for a in want for b, _ in (all_ways(model, unit) if unit else [(0.0, ())])]
+        want.sort(reverse=True)
+        got = model.nbest_encode(text, 4)
+        assert [s for s, _ in got] == pytest.approx(want[:4]) and len({tuple(i) for _, i in got}) == len(got)
+        assert all(model.decode(i) == text for _, i in got)
+        best, second, n, ids, back = model.summary(text)
+        assert best == pytest.approx(want[0]) and (second, len(want) > 1) == (pytest.approx(want[1]) if len(want) > 1 else None, second is not None)
+        assert ids == pieces.packed(got[0][1]) and n == len(got[0][1]) and back.decode()[1:] == text
+
+
 def test_round_trip(spark, odd, model):
     for text in ("", " ", "  a  b\n\tc ñ \U0001f600 ", pieces.SPACE, f"a{pieces.SPACE} b", "\x00日本", "x" * 5000):
         assert model.decode(model.encode(text)[1]) == text
