@@ -8,7 +8,6 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,10 +25,12 @@ def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and every executor can reach.
 
     The cluster names it in ``spark.checkpoint.dir``; only where that is
-    unset (a single machine, as in tests) is a local folder taken.
+    unset and all runs on one machine, as in tests, is a local folder taken.
     """
     found = spark.conf.get(SHARED_KEY, None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError(f"{SHARED_KEY} must name a folder that the driver and all executors share")
         found = LOCAL_SHARED
         spark.conf.set(SHARED_KEY, found)
     return found.rstrip("/")
@@ -75,22 +76,79 @@ def crc_fold(doc_id: Column, folds: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % F.lit(folds), F.lit(0))
 
 
-def located(docs: DataFrame, space: Workspace, placed: bool = False) -> DataFrame:
-    """``docs`` with ``_file`` and ``_row``, which identify each stored row.
+def _one_scan(docs: DataFrame) -> bool:
+    """Whether ``docs`` is one scan of Parquet files, each named once, under filters
+    and projections only, so that a file and a place in it stand for one row."""
+    plan = docs._jdf.queryExecution().analyzed()
+    if not plan.deterministic():
+        return False
+    while plan.getClass().getSimpleName() in ("Project", "Filter", "SubqueryAlias", "View"):
+        plan = plan.children().head()
+    if plan.getClass().getSimpleName() != "LogicalRelation":
+        return False
+    relation = plan.relation()
+    if relation.getClass().getSimpleName() != "HadoopFsRelation":
+        return False
+    if relation.fileFormat().getClass().getSimpleName() != "ParquetFileFormat":
+        return False
+    if any(n.lower() == "_metadata" for n in relation.schema().fieldNames()):
+        return False
+    paths = sorted(f"{p.rstrip('/')}/" for p in relation.location().rootPaths().mkString("\n").split("\n"))
+    return not any(b.startswith(a) for a, b in zip(paths, paths[1:]))
+
+
+def place_of(names: list[str], name: str) -> int:
+    """The place of a column: by its exact name, else whatever the case."""
+    return names.index(name) if name in names else [n.lower() for n in names].index(name.lower())
+
+
+def kept_rows(docs: DataFrame, name: str, keep: Callable[[list], list[bool]], size: int = 1) -> DataFrame:
+    """The rows of ``docs`` for whose values in column ``name`` the function says true,
+    with all their columns, whatever these are called. The function gets the values
+    of about ``size`` bytes of rows at a time."""
+    names = docs.columns
+    k = place_of(names, name)
+    plain = docs.toDF(*(f"c{j}" for j in range(len(names))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for parts in gathered(batches, size):
+            kept = pa.array(keep([v for part in parts for v in part.column(k).to_pylist()]), pa.bool_())
+            at = 0
+            for part in parts:
+                yield part.filter(kept.slice(at, part.num_rows))
+                at += part.num_rows
+
+    return plain.mapInArrow(run, plain.schema).toDF(*names)
+
+
+class Placed:
+    """A table whose rows can be told apart: ``rows`` has its columns as c0, c1, …
+    by position, so that no name can clash, and ``_file`` and ``_row``, which
+    identify each row in every later scan.
+
+    Rows are told apart by the files that they are read from; where the table is
+    more than a scan of files (exploded, joined, read twice, computed), it is
+    written to ``space`` first.
+    """
 
-    With ``placed`` the frame has them already.
+    def __init__(self, docs: DataFrame, space: Workspace):
+        self.names = docs.columns
+        plain = docs.toDF(*(f"c{k}" for k in range(len(self.names))))
+        if not _one_scan(docs):
+            plain = space.save(plain, f"placed-{uuid.uuid4().hex}")
+        at = F.col("_metadata")
+        self.rows = plain.select("*", at["file_path"].alias("_file"), at["row_index"].alias("_row"))
 
-    A frame that doesn't read files directly is written to ``space`` first,
-    so that every later scan sees the same rows under the same locators.
-    """
-    if placed:
-        return docs
-    where = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")]
-    plain = docs.drop("_file", "_row")
-    try:
-        return plain.select("*", *where)
-    except AnalysisException:
-        return space.save(plain, f"located-{uuid.uuid4().hex}").select("*", *where)
+    def pick(self, **columns: str) -> DataFrame:
+        """The columns of these names, under new names, with ``_file`` and ``_row``."""
+        at = {new: F.col(f"c{place_of(self.names, old)}").alias(new) for new, old in columns.items()}
+        return self.rows.select(*at.values(), "_file", "_row")
+
+    def only(self, keys: DataFrame, how: str = "left_semi") -> DataFrame:
+        """The rows that ``keys`` (of _file and _row) names, or with ``left_anti`` all
+        others, as they came."""
+        found = self.rows.join(keys.select("_file", "_row"), ["_file", "_row"], how)
+        return found.drop("_file", "_row").toDF(*self.names)
 
 
 def map_batches(
@@ -126,3 +184,17 @@ def slices(batch: pa.RecordBatch, max_bytes: int = 8 << 20) -> Iterator[pa.Recor
     step = max(1, int(batch.num_rows * max_bytes / max(1, batch.nbytes)))
     for at in range(0, batch.num_rows, step):
         yield batch.slice(at, step)
+
+
+def gathered(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[list[pa.RecordBatch]]:
+    """Parts of batches, ``size`` bytes of them at a time."""
+    held, n = [], 0
+    for batch in batches:
+        for part in slices(batch):
+            held.append(part)
+            n += part.nbytes
+            if n >= size:
+                yield held
+                held, n = [], 0
+    if held:
+        yield held

@@ -6,29 +6,34 @@ over word numbers, so a text is scanned once, and what is found is mapped
 back to the words and characters of the original.
 
 An automaton is sent to the workers, so its size is bounded: more patterns
-than ``MOST`` are dealt into several automata, each of which scans all texts,
-and what they find in a text is merged.
+than ``MOST``, or more than ``BYTES`` of them, are dealt into several. A worker
+then takes ``BUFFER`` bytes of texts at a time through one automaton after the
+other, so the texts are still read once and what is found is merged in place.
 
 Defined cases: a null text has no words and is clean; an item without words
 has no pattern; a null item id reads as an empty string; repeated items count
 once for each id; repeated rows are reported each; an empty benchmark leaves
-everything clean; other columns of the input are ignored.
+everything clean; other columns of the input may have any names and come back
+as they were.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
+from itertools import islice
 
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, located, map_batches, slices
+from .common import Workspace, gathered, kept_rows, map_batches, slices
 
 WINDOW = 10
-MOST = 200_000
+MOST, BYTES = 200_000, 64 << 20
+BUFFER = 64 << 20
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 #: Lower-cases A-Z and blanks every other ASCII character but digits and a-z.
 TABLE = bytes(
@@ -78,7 +83,7 @@ class Matcher:
         self.automaton.make_automaton()
 
     def scan(self, text: str | None) -> tuple[int, list[list[int]], set[str]]:
-        """Number of words, merged runs [start, end) of hit words, item ids."""
+        """Number of words, joined runs [start, end) of hit words, item ids."""
         w = words_of(text)
         runs: list[list[int]] = []
         items: set[str] = set()
@@ -94,17 +99,76 @@ class Matcher:
         return len(w), runs, items
 
 
-def _scan(rows: DataFrame, made: list[tuple[str, list[str]]], kind: str) -> DataFrame:
-    sent = rows.sparkSession.sparkContext.broadcast(made)
+def join_runs(runs: list[list[int]]) -> list[list[int]]:
+    """Runs that touch or overlap become one."""
+    out: list[list[int]] = []
+    for a, b in sorted(runs):
+        if out and out[-1][1] >= a:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
+    return out
+
+
+class Matchers:
+    """The automata of all blocks. A Python worker keeps the last one that it
+    built, so that with one block it is built once, not in every task."""
+
+    _held: tuple[str, int] | None = None
+    _matcher: Matcher | None = None
+
+    def __init__(self, blocks: list):
+        self.name, self.blocks = uuid.uuid4().hex, blocks
+
+    def block(self, k: int) -> Matcher:
+        if Matchers._held != (self.name, k):
+            Matchers._matcher = None
+            Matchers._matcher = Matcher(self.blocks[k].value)
+            Matchers._held = (self.name, k)
+            if len(self.blocks) > 1:
+                self.blocks[k].__dict__.pop("_value", None)  # read again when needed
+        return Matchers._matcher
+
+    def scan(self, texts: list[str | None]) -> list[tuple[int, list[list[int]], set[str]]]:
+        """What ``Matcher.scan`` gives for each text, over all blocks."""
+        found = [self.block(0).scan(t) for t in texts]
+        for k in range(1, len(self.blocks)):
+            matcher = self.block(k)
+            for j, text in enumerate(texts):
+                n, runs, items = found[j]
+                _, more, ids = matcher.scan(text)
+                found[j] = (n, join_runs(runs + more), items | ids)
+        return found
+
+
+def matchers(spark: SparkSession, benchmark: DataFrame, window: int = WINDOW, most: int = MOST) -> Matchers:
+    """The automata of a benchmark, with about ``most`` patterns each."""
+    made = Workspace(spark, "decontamination").save(patterns(benchmark, window), "patterns")
+    weight = F.aggregate("items", F.octet_length("pattern").cast("long"), lambda n, x: n + F.octet_length(x))
+    n, size = made.agg(F.coalesce(F.sum(F.size("items")), F.lit(0)), F.coalesce(F.sum(weight), F.lit(0))).first()
+    blocks, sent = max(1, -(-n // most), -(-size // BYTES)), []
+    for k in range(blocks):
+        part = made.where(F.pmod(F.xxhash64("pattern"), F.lit(blocks)) == k)
+        sent.append(spark.sparkContext.broadcast([(p, list(i)) for p, i in part.collect()]))  # about ``most`` patterns
+    return Matchers(sent)
+
+
+_LOWER = {65 + k: 97 + k for k in range(26)}
+
+
+def scan(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most: int = MOST) -> DataFrame:
+    """Per row: doc_id, n_words, hits (runs of words), chars (their places in the
+    original text) and items."""
+    found, kind = matchers(spark, benchmark, window, most), docs.schema["doc_id"].dataType.simpleString()
+    size = BUFFER if len(found.blocks) > 1 else 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        matcher = Matcher(sent.value)
-        for batch in batches:
-            for part in slices(batch):
-                out: dict = {k: part.column(k) for k in ("doc_id", "_file", "_row")}
-                out |= {"n_words": [], "hits": [], "chars": [], "items": []}
-                for text in part.column("text").to_pylist():
-                    n, runs, items = matcher.scan(text)
+        for parts in gathered(batches, size):
+            texts = [t for part in parts for t in part.column("text").to_pylist()]
+            rows = iter(zip(texts, found.scan(texts)))
+            for part in parts:
+                out: dict = {"doc_id": part.column("doc_id"), "n_words": [], "hits": [], "chars": [], "items": []}
+                for text, (n, runs, items) in islice(rows, part.num_rows):
                     at = [m.span() for m in WORD.finditer(text.translate(_LOWER))] if runs else []
                     out["n_words"].append(n)
                     out["hits"].append([{"start": a, "end": b} for a, b in runs])
@@ -114,52 +178,12 @@ def _scan(rows: DataFrame, made: list[tuple[str, list[str]]], kind: str) -> Data
 
     spans = "array<struct<start: int, end: int>>"
     return map_batches(
-        rows, run, f"doc_id {kind}, _file string, _row bigint, n_words bigint, hits {spans}, chars {spans}, items array<string>"
-    )
-
-
-_LOWER = {65 + k: 97 + k for k in range(26)}
-#: Runs that touch or overlap become one; the places in the original text go with them.
-_MERGE = """
-aggregate(array_sort(flatten(collect_list(arrays_zip(hits, chars)))), cast(array() as array<struct<hits: {0}, chars: {0}>>), (done, x) ->
-  case when size(done) > 0 and element_at(done, -1).hits.end >= x.hits.start
-       then concat(slice(done, 1, size(done) - 1), array(named_struct(
-            'hits', named_struct('start', element_at(done, -1).hits.start, 'end', greatest(element_at(done, -1).hits.end, x.hits.end)),
-            'chars', named_struct('start', element_at(done, -1).chars.start, 'end', greatest(element_at(done, -1).chars.end, x.chars.end)))))
-       else concat(done, array(x)) end)
-""".format("struct<start: int, end: int>")
-
-
-def scan(
-    spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most: int = MOST, placed: bool = False
-) -> DataFrame:
-    """Per row: doc_id, _file, _row, n_words, hits (runs of words), chars (their
-    places in the original text) and items."""
-    space = Workspace(spark, "decontamination")
-    made = space.save(patterns(benchmark, window), "patterns")
-    size = made.agg(F.coalesce(F.sum(F.size("items")), F.lit(0))).first()[0]
-    blocks = max(1, -(-size // most))
-    names = ["_file", "_row"] if placed else []
-    rows = located(docs.select("doc_id", "text", *names), space, placed).select("doc_id", "_file", "_row", "text")
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    found = None
-    for k in range(blocks):
-        part = made.where(F.pmod(F.xxhash64("pattern"), F.lit(blocks)) == k)
-        one = _scan(rows, [(p, list(i)) for p, i in part.collect()], kind)  # about ``most`` patterns
-        found = one if found is None else found.unionByName(one)
-    if blocks == 1:
-        return found
-    merged = found.groupBy("_file", "_row").agg(
-        F.first("doc_id").alias("doc_id"),
-        F.first("n_words").alias("n_words"),
-        F.expr(_MERGE).alias("runs"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+        docs.select("doc_id", "text"), run, f"doc_id {kind}, n_words bigint, hits {spans}, chars {spans}, items array<string>"
     )
-    return merged.withColumns({c: F.col(f"runs.{c}") for c in ("hits", "chars")}).select(*found.columns)
 
 
 def clean(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of ``docs`` without any run of benchmark words."""
-    rows = located(docs, Workspace(spark, "decontamination-in"))
-    bad = scan(spark, rows, benchmark, window, placed=True).where(F.size("hits") > 0).select("_file", "_row")
-    return rows.join(bad, ["_file", "_row"], "left_anti").select(*docs.columns)
+    found = matchers(spark, benchmark, window)
+    size = BUFFER if len(found.blocks) > 1 else 1
+    return kept_rows(docs, "text", lambda texts: [not runs for _, runs, _ in found.scan(texts)], size)

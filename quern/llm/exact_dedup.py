@@ -10,8 +10,9 @@ Only DataFrame operations and Structured Streaming are used.
 
 Defined cases: a null text counts as empty; rows that are equal in text and
 identifier keep exactly one of them; a null identifier loses to any other; an
-empty table gives an empty result; other columns of the input are ignored and
-may have any names.
+empty table gives an empty result; rows that a join or an explode made, or a
+file that is read twice, are rows of their own; other columns of the input may
+have any names and come back as they were.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, located, lower_ascii
+from .common import Placed, Workspace, lower_ascii
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 STREAM_CONF = {
@@ -30,9 +31,9 @@ STREAM_CONF = {
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # no space set aside for each of many stores
     "spark.sql.streaming.noDataMicroBatches.enabled": "false",
 }
-#: Bits of the map that tells rows of hit digests: 512 blocks of 4 KiB at
-#: most, 2 MiB whatever the input.
-MAP_BITS = 1 << 24
+#: Bits of the map that tells rows of hit digests: 16 for each, within these
+#: bounds (2 and 128 MiB). Beyond, the digests are joined instead.
+LEAST_BITS, MOST_BITS = 1 << 24, 1 << 30
 
 
 def sha256(norm: Column) -> Column:
@@ -49,12 +50,14 @@ class StreamingDeduplicator:
         self.docs: DataFrame | None = None
         self.epochs: list[int] = []
 
-    def ingest(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", placed: bool = False) -> None:
+    def ingest(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> None:
         """Add rows to the state; may be called again with further rows."""
-        names = ["_file", "_row"] if placed else []
-        base = located(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *names), self.space, placed)
+        self.add(Placed(docs, self.space).pick(id=id_col, text=text_col))
+
+    def add(self, rows: DataFrame) -> None:
+        """Add rows of id, text, _file and _row."""
         norm = lower_ascii(F.col("text"))
-        base = base.select("id", self.digest(norm).alias("digest"), norm.alias("norm"), "_file", "_row")
+        base = rows.select("id", self.digest(norm).alias("digest"), norm.alias("norm"), "_file", "_row")
         narrow = base.select("id", "digest", "_file", "_row")
         narrow.write.mode("append").parquet(self.space.file("inbox"))
         self.docs = base if self.docs is None else self.docs.unionByName(base)
@@ -105,24 +108,33 @@ class StreamingDeduplicator:
     def _hits_by_text(self) -> DataFrame:
         """Rows of hit digests grouped by digest and full text.
 
-        A bitmap of bounded size keeps most other texts out of the shuffle;
-        the aggregation over whole texts combines copies before it.
+        A map of hashed digests keeps most other texts out of the shuffle; the
+        aggregation over whole texts combines copies before it. Digests too many
+        for the map are joined, which shuffles texts once, by digest.
         """
-        bit = F.pmod(F.xxhash64("digest"), F.lit(MAP_BITS))
+        hits = self.state().where("n > 1").select("digest")
+        wanted = 16 * hits.count()
+        rows = self.docs.select("digest", "norm")
+        if wanted > MOST_BITS:
+            rows = rows.join(hits, "digest", "left_semi")
+        else:
+            rows = self._mapped(rows, hits, 1 << max(wanted - 1, LEAST_BITS - 1).bit_length())
+        return rows.groupBy("digest", "norm").agg(F.count(F.lit(1)).alias("n"))
+
+    @staticmethod
+    def _mapped(rows: DataFrame, hits: DataFrame, bits: int) -> DataFrame:
+        """The rows whose digest is marked in a map of ``bits`` bits, sent out in blocks of 4 KiB."""
+        bit = F.pmod(F.xxhash64("digest"), F.lit(bits))
         blocks = (
-            self.state()
-            .where("n > 1")
-            .select(bit.alias("bit"))
+            hits.select(bit.alias("bit"))
             .groupBy(F.bitmap_bucket_number("bit").alias("block"))
             .agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("map"))
         )
         at = F.col("at")
         byte = F.conv(F.hex(F.substring("map", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
         spot = F.shiftright(byte, 0).bitwiseAND(F.expr("shiftleft(1, cast(at % 8 as int))")) != 0
-        rows = self.docs.select("id", "digest", "norm", "_file", "_row", bit.alias("bit"))
-        rows = rows.withColumn("block", F.bitmap_bucket_number("bit")).withColumn("at", F.bitmap_bit_position("bit"))
-        rows = rows.join(F.broadcast(blocks), "block").where(spot)
-        return rows.groupBy("digest", "norm").agg(F.count(F.lit(1)).alias("n"))
+        rows = rows.withColumn("block", F.bitmap_bucket_number(bit)).withColumn("at", F.bitmap_bit_position(bit))
+        return rows.join(F.broadcast(blocks), "block").where(spot)  # MOST_BITS / 8 bytes at most
 
     def result(self) -> DataFrame:
         """One row per ingested row: doc_id, keep_id, group_size, kept, text_sha256, _file, _row."""
@@ -143,7 +155,7 @@ class StreamingDeduplicator:
         if clashes.isEmpty():
             return rows.select(*out)
         # texts that share a digest are told apart by their bytes
-        rest = self.docs.join(F.broadcast(clashes) if self.digest is sha256 else clashes, "digest", "left_semi")
+        rest = self.docs.join(clashes, "digest", "left_semi")
         best = rest.groupBy("digest", "norm").agg(
             F.max(F.struct("id", "_file", "_row")).alias("best"), F.count(F.lit(1)).alias("n")
         )
@@ -151,16 +163,16 @@ class StreamingDeduplicator:
         return rows.join(clashes, "digest", "left_anti").select(*out).unionByName(rest.select(*out))
 
 
-def dedup(spark: SparkSession, docs: DataFrame, placed: bool = False, **kw) -> DataFrame:
+def dedup(spark: SparkSession, docs: DataFrame, **kw) -> DataFrame:
     """Deduplicate one finite table; see ``StreamingDeduplicator.result``."""
     d = StreamingDeduplicator(spark, **kw)
-    d.ingest(docs, placed=placed)
+    d.ingest(docs)
     return d.result()
 
 
 def keep_first(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that deduplication keeps, with all their columns."""
-    space = Workspace(spark, "dedup-in")
-    rows = located(docs, space)
-    kept = dedup(spark, rows, placed=True).where("kept").select("_file", "_row")
-    return rows.join(kept, ["_file", "_row"], "left_semi").select(*docs.columns)
+    d = StreamingDeduplicator(spark)
+    placed = Placed(docs, d.space)
+    d.add(placed.pick(id="doc_id", text="text"))
+    return placed.only(d.result().where("kept"))

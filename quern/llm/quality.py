@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, crc_fold, map_batches, slices
+from .common import Workspace, crc_fold, kept_rows, map_batches, slices
 
 FOLDS = 5
 HELD_OUT = 0
@@ -158,6 +158,14 @@ def moments(rows: DataFrame, label: str = "label") -> dict[int, tuple[float, np.
     return {c: (s[0], s[1 : d + 1], s[d + 1 :].reshape(d, d)) for c, s in sums.items()}
 
 
+def learn(docs: DataFrame, labels: DataFrame) -> Discriminant:
+    """Fit on the labelled documents of the learning folds; only their statistics are computed."""
+    marked = labels.where("quality in (0, 1)").select("doc_id", F.col("quality").alias("label"))
+    known = docs.select("doc_id", "text").join(marked.select("doc_id").distinct(), "doc_id", "left_semi")
+    seen = features(known.where(crc_fold(F.col("doc_id"), FOLDS) != HELD_OUT))
+    return Discriminant.fit(moments(seen.join(marked, "doc_id")))
+
+
 def score(
     spark: SparkSession,
     docs: DataFrame,
@@ -191,15 +199,9 @@ def keep_good(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshold
 
     Rows that share an id (or a null one) are each judged on their own text.
     """
-    space = Workspace(spark, "quality-in")
-    seen = space.save(features(docs), "features")
-    marked = labels.where("quality in (0, 1)").select("doc_id", F.col("quality").alias("label"))
-    model = Discriminant.fit(moments(seen.where(F.col("fold") != HELD_OUT).join(marked, "doc_id")))
+    model = learn(docs, labels)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch):
-                x = np.array([statistics(t) for t in part.column("text").to_pylist()], float)
-                yield part.filter(pa.array(model.score(x) >= threshold))
+    def keep(texts: list[str | None]) -> list[bool]:
+        return (model.score(np.array([statistics(t) for t in texts], float)) >= threshold).tolist()
 
-    return docs.mapInArrow(run, docs.schema)
+    return kept_rows(docs, "text", keep)

@@ -7,8 +7,15 @@ bound at the mean, rows differ by one at most between shards (law ``rows``),
 while a change of the shard count moves little beyond what a new shard takes.
 
 The overflow is settled on one count per arc, a table whose size depends on
-the number of virtual nodes alone. Rows are then ranked within their arcs and
-joined to the settled stretches of ranks.
+the number of virtual nodes alone. Rows are then ranked within small cells of
+the ring, the cells' counts give each its first rank in the arc, and the ranks
+are joined to the settled stretches. A cell far above the mean (one id, or none,
+on very many rows) is ranked in ``SALTS`` parts, so no task sees all of an arc
+or of an id. Both counts read the same narrow table, written once.
+
+A new shard takes its rows from all the others; as bounds fall with it, some
+rows also move between old shards (1.6 % of 100,000 ids from 16 to 17 shards,
+7.5 % in all).
 
 Only DataFrame and SQL functions touch the rows.
 
@@ -27,9 +34,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import Workspace
+
 NODES = 128
 DIGITS = 13  # hexadecimal digits of MD5 that give the place: 52 bits
 CELL = 40  # low bits within a cell; 4096 cells index the arcs
+HOT = 8  # a cell with this many times the mean is ranked in parts
+SALTS = 64
 
 
 def place(key: str) -> int:
@@ -96,30 +107,34 @@ def _place(key: Column) -> Column:
     return F.conv(F.substring(digest, 1, DIGITS), 16, 10).cast("long")
 
 
-def shard(spark: SparkSession, docs: DataFrame, shards: int = 16, nodes: int = NODES) -> DataFrame:
+def shard(spark: SparkSession, docs: DataFrame, shards: int = 16, nodes: int = NODES, hot: float = HOT) -> DataFrame:
     """doc_id, size, text_crc32, arc, shard and slot of every row of ``docs``."""
-    circle = ring(shards, nodes)
+    circle, space = ring(shards, nodes), Workspace(spark, "sharding")
     cells = F.broadcast(_local(spark, ["cell", "lo", "hi", "arc"], _cells(circle)))
-
-    def on_ring(df: DataFrame) -> DataFrame:
-        df = df.withColumn("cell", F.shiftright("place", CELL))
-        return df.join(cells, "cell").where("place between lo and hi").drop("cell", "lo", "hi")
-
-    ids = on_ring(docs.select(_place(F.col("doc_id")).alias("place")))
-    found = ids.groupBy("arc").agg(F.count(F.lit(1)).alias("n"))
-    counts = [0] * len(circle)
-    for arc, n in found.collect():  # one row for each virtual node at most
-        counts[arc] = n
-    plan = settle(counts, circle, bounds(sum(counts), shards))
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     rows = docs.select(
         "doc_id",
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text).alias("text_crc32"),
         _place(F.col("doc_id")).alias("place"),
+        F.pmod(F.xxhash64(text, F.spark_partition_id()), F.lit(SALTS)).cast("int").alias("salt"),
     )
-    order = Window.partitionBy("arc").orderBy("place", "doc_id", "text_crc32", "size")
-    rows = on_ring(rows).withColumn("rank", F.row_number().over(order))
+    rows = space.save(rows.withColumn("cell", F.shiftright("place", CELL)), "rows")
+    rows = rows.join(cells, "cell").where("place between lo and hi").drop("lo", "hi")
+    found = rows.groupBy("cell", "arc").agg(F.count(F.lit(1)).alias("n")).collect()  # cells and virtual nodes
+    counts, total = [0] * len(circle), sum(r.n for r in found)
+    for r in found:
+        counts[r.arc] += r.n
+    plan = settle(counts, circle, bounds(total, shards))
+    crowded = sorted({r.cell for r in found if r.n > hot * total / (1 << (4 * DIGITS - CELL)) + 1000})
+    part = F.when(F.col("cell").isin(crowded), F.col("salt")).otherwise(0) if crowded else F.lit(0)
+    rows = rows.withColumn("salt", part)
+    sizes = rows.groupBy("arc", "cell", "salt").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("arc").orderBy("cell", "salt").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("arc", "cell", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    order = Window.partitionBy("arc", "cell", "salt").orderBy("place", "doc_id", "text_crc32", "size")
+    rows = rows.withColumn("own", F.row_number().over(order)).join(sizes, ["arc", "cell", "salt"])
+    rows = rows.withColumn("rank", F.col("own") + F.col("base"))
     stretch = _local(spark, ["arc", "lo", "hi", "shard", "slot0"], plan)
     rows = rows.join(F.broadcast(stretch), "arc").where("rank between lo and hi")
     slot = (F.col("slot0") + F.col("rank") - F.col("lo")).alias("slot")

@@ -4,14 +4,20 @@ A document's fingerprint has bit b set when over half of its shingle hashes
 have it. Two fingerprints that differ in at most three bits agree in two of
 five blocks, so each distinct fingerprint is filed under the ten pairs of
 blocks; those filed together are compared in full. A file of many
-fingerprints is dealt out as pairs of chunks, so no task holds more than two
-chunks, and every unit of work returns a spanning forest instead of all its
+fingerprints is filed again, by four blocks of the bits that it leaves open
+(a near pair agrees in one of them), which cuts it to a thousandth or so. What
+still exceeds a chunk is dealt out as pairs of chunks, so no task holds more
+than two, and every unit of work returns a spanning forest instead of all its
 pairs. Connected components of the forests are the groups.
 
+Work grows with the number of distinct fingerprints; with its square only among
+those that share a block pair and a further block, past ``CHUNK`` of them.
+
 Defined cases: a null or blank text has fingerprint zero and is linked like
 any other; texts of fewer words than a shingle hash their whole sequence; a
 null id is linked but never names a group unless all ids of it are null;
-repeated rows share their group; other columns of the input are ignored.
+repeated rows share their group; rows that a join or an explode made are rows of
+their own; other columns of the input may have any names and come back as they were.
 """
 
 from __future__ import annotations
@@ -25,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, located, map_batches, slices
+from .common import Placed, Workspace, map_batches, slices
 from .components import components
 
 SEED = 42
@@ -63,17 +69,36 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     return map_batches(rows, run, f"doc_id {kind}, _file string, _row bigint, fp bigint")
 
 
+PAIRS = tuple(combinations(range(len(WIDTHS)), len(WIDTHS) - DISTANCE))
+AGAIN = 10  # bits of a block of those that a pair of blocks leaves open
+
+
+def _blocks() -> list[F.Column]:
+    low = np.cumsum((0, *WIDTHS))
+    return [F.shiftrightunsigned("fp", int(a)).bitwiseAND(F.lit((1 << w) - 1)) for a, w in zip(low, WIDTHS)]
+
+
 def _keys() -> F.Column:
     """The file names of a fingerprint: for two blocks of five, their numbers and bits."""
-    low = np.cumsum((0, *WIDTHS))
-    block = [
-        F.shiftrightunsigned("fp", int(a)).bitwiseAND(F.lit((1 << w) - 1))
-        for a, w in zip(low, WIDTHS)
-    ]
-    made = []
-    for k, (i, j) in enumerate(combinations(range(len(WIDTHS)), len(WIDTHS) - DISTANCE)):
-        made.append(F.shiftleft(F.lit(k).cast("long"), 26) + F.shiftleft(block[i], 13) + block[j])
-    return F.array(*made)
+    block = _blocks()
+    return F.array(
+        *(F.shiftleft(F.lit(k).cast("long"), 26) + F.shiftleft(block[i], 13) + block[j] for k, (i, j) in enumerate(PAIRS))
+    )
+
+
+def _further() -> F.Column:
+    """The names of a fingerprint in a file (``key``) by blocks of its other bits."""
+    block, open_bits = _blocks(), []
+    for pair in PAIRS:
+        at, bits = 0, F.lit(0).cast("long")
+        for k in range(len(WIDTHS)):
+            if k not in pair:
+                bits, at = bits + F.shiftleft(block[k], at), at + WIDTHS[k]
+        open_bits.append(bits)
+    rest = F.get(F.array(*open_bits), F.shiftright("key", 26).cast("int"))
+    name = F.lit(1 << 50) + F.shiftleft("key", AGAIN + 2)
+    each = [F.shiftrightunsigned(rest, AGAIN * s).bitwiseAND(F.lit((1 << AGAIN) - 1)) for s in range(DISTANCE + 1)]
+    return F.array(*(name + (s << AGAIN) + x for s, x in enumerate(each)))
 
 
 def forest(values: np.ndarray, distance: int = DISTANCE) -> list[tuple[int, int]]:
@@ -114,11 +139,21 @@ def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     yield {"u": [x[0] for x in edges], "v": [x[1] for x in edges]}
 
 
+def _sized(filed: DataFrame) -> DataFrame:
+    """fp, key and m, the size of the file, for files of two and more.
+
+    AQE splits a file with very many rows: the join needs them together no more.
+    """
+    sizes = filed.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    return filed.join(sizes, "key")
+
+
 def links(fps: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """Edges (u, v) that span each component of distinct ``fps`` (column fp)."""
-    filed = fps.select("fp", F.explode(_keys()).alias("key"))
-    sizes = filed.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    filed = filed.join(sizes, "key").withColumn("c", F.ceil(F.col("m") / chunk).cast("int"))
+    filed = _sized(fps.select("fp", F.explode(_keys()).alias("key")))
+    large = filed.where(F.col("m") > chunk).select("fp", F.explode(_further()).alias("key"))
+    filed = filed.where(F.col("m") <= chunk).unionByName(_sized(large))
+    filed = filed.withColumn("c", F.ceil(F.col("m") / chunk).cast("int"))
     filed = filed.withColumn("h", F.pmod(F.xxhash64("fp"), F.col("c")).cast("int"))
     units = filed.select("key", "fp", "h", F.explode(F.sequence(F.lit(0), F.col("c") - 1)).alias("x"))
     units = units.select("key", F.least("h", "x").alias("i"), F.greatest("h", "x").alias("j"), "fp")
@@ -126,15 +161,17 @@ def links(fps: DataFrame, chunk: int = CHUNK) -> DataFrame:
     return map_batches(units, _forests, "u bigint, v bigint").distinct()
 
 
-def near_groups(spark: SparkSession, docs: DataFrame, words: int = 3, placed: bool = False) -> DataFrame:
+def near_groups(spark: SparkSession, docs: DataFrame, words: int = 3) -> DataFrame:
     """One row per document: doc_id, _file, _row, fp, component_id, kept.
 
     component_id is the least id that can be reached; kept marks the row of
     that id (of several, the first stored).
     """
     space = Workspace(spark, "simhash")
-    names = ["_file", "_row"] if placed else []
-    rows = located(docs.select("doc_id", "text", *names), space, placed)
+    return _grouped(Placed(docs, space).pick(doc_id="doc_id", text="text"), space, words)
+
+
+def _grouped(rows: DataFrame, space: Workspace, words: int) -> DataFrame:
     rows = space.save(fingerprints(rows, words), "fingerprints")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_file", "_row"))
     fps = space.save(rows.groupBy("fp").agg(first.alias("first")), "distinct")
@@ -152,6 +189,6 @@ def near_groups(spark: SparkSession, docs: DataFrame, words: int = 3, placed: bo
 
 def keep_first(spark: SparkSession, docs: DataFrame, words: int = 3) -> DataFrame:
     """The rows of ``docs`` that stay, one of each group, with all their columns."""
-    rows = located(docs, Workspace(spark, "simhash-in"))
-    kept = near_groups(spark, rows, words, placed=True).where("kept").select("_file", "_row")
-    return rows.join(kept, ["_file", "_row"], "left_semi").select(*docs.columns)
+    space = Workspace(spark, "simhash")
+    placed = Placed(docs, space)
+    return placed.only(_grouped(placed.pick(doc_id="doc_id", text="text"), space, words).where("kept"))

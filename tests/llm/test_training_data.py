@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from quern.llm import (
     components, decontamination, exact_dedup, html_text, lm, pieces, pii, quality, sharding, simhash, toxicity,
@@ -87,6 +88,18 @@ def test_a_new_shard_moves_little(spark):
     assert sum(a[k] != b[k] for k in a) < 0.25 * len(a)
 
 
+def test_one_id_on_very_many_rows(spark):
+    rows = spark.range(30_000).selectExpr("if(id % 3 = 0, null, id) as doc_id", "if(id % 2 = 0, 'x', cast(id as string)) as text")
+    got = sharding.shard(spark, rows, 7, hot=2.0)
+    sizes = {r.shard: (r.n, r.least, r.most, r.slots) for r in got.groupBy("shard").agg(
+        F.count("*").alias("n"), F.min("slot").alias("least"), F.max("slot").alias("most"), F.countDistinct("slot").alias("slots")).collect()}
+    assert sum(n for n, *_ in sizes.values()) == 30_000 and max(n for n, *_ in sizes.values()) - min(n for n, *_ in sizes.values()) <= 1
+    assert all((least, most, slots) == (0, n - 1, n) for n, least, most, slots in sizes.values())
+    assert got.groupBy("doc_id", "size", "text_crc32").count().exceptAll(
+        rows.selectExpr("doc_id", "cast(octet_length(text) + 1 as bigint) size", "crc32(cast(text as binary)) text_crc32").groupBy("doc_id", "size", "text_crc32").count()
+    ).count() == 0
+
+
 def test_no_rows(spark, none, labels):
     assert sharding.shard(spark, none).count() == 0
     assert exact_dedup.dedup(spark, none).count() == 0
@@ -128,6 +141,58 @@ def test_exact_dedup(spark, odd):
     assert kept.count() == len(expected_groups(odd.collect()))
 
 
+def multiplied(spark, tmp_path):
+    """Frames whose rows are more than the stored ones: exploded, joined, a file read twice."""
+    path = str(tmp_path / "docs")
+    spark.createDataFrame([(k, f"some words of text {k // 2}") for k in range(20)], "doc_id long, text string").coalesce(1).write.parquet(path)
+    docs = spark.read.parquet(path)
+    return {
+        "exploded": docs.selectExpr("*", "explode(array(1, 2, 3)) as copy"),
+        "joined": docs.join(spark.range(3).selectExpr("id as other"), exploded_condition(docs), "inner"),
+        "twice": spark.read.parquet(path, path),
+        "union": docs.union(docs),
+        "random": docs.where("rand() >= 0").where("doc_id >= 0"),
+    }
+
+
+def exploded_condition(docs):
+    return docs.doc_id >= 0
+
+
+def test_rows_that_a_plan_multiplies_are_rows_of_their_own(spark, tmp_path):
+    for name, docs in multiplied(spark, tmp_path).items():
+        kept = exact_dedup.keep_first(spark, docs)
+        assert (kept.columns, kept.count()) == (docs.columns, 10), name
+        if name not in ("exploded", "twice"):
+            continue
+        got = exact_dedup.dedup(spark, docs).collect()
+        assert (len(got), sum(r.kept for r in got)) == (docs.count(), 10), name
+        groups = simhash.near_groups(spark, docs).select("component_id").distinct().count()
+        assert simhash.keep_first(spark, docs).count() == groups, name
+
+
+def test_columns_of_any_name_come_back(spark, tmp_path):
+    path = str(tmp_path / "odd")
+    rows = [(1, "a b c", "mine", 7, "meta", 1.5, "T"), (2, "a b c", "mine", 8, "meta", 2.5, "T"), (3, None, "mine", 9, None, None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string, _file string, _row long, _metadata string, c0 double, digest string").write.parquet(path)
+    docs = spark.read.parquet(path)
+    bench = spark.createDataFrame([(1, "x y z")], "item_id long, text string")
+    no_labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    twice = docs.join(docs.select("doc_id", F.col("_file").alias("TEXT")), "doc_id").select("*")
+    for frame, n, ways in ((docs, 2, (exact_dedup, simhash)), (twice, 2, (exact_dedup,))):
+        for out in (way.keep_first(spark, frame) for way in ways):
+            assert out.columns == frame.columns and out.count() == n
+            assert {r._file for r in out.select("_file").collect()} == {"mine"}
+        assert decontamination.clean(spark, frame, bench).columns == frame.columns
+        assert decontamination.clean(spark, frame, bench).count() == 3
+    assert quality.keep_good(spark, docs, no_labels).columns == docs.columns
+
+
+def test_many_hits_are_joined_instead_of_mapped(spark, odd, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "MOST_BITS", 1)
+    check_dedup(odd.collect(), exact_dedup.dedup(spark, odd).collect())
+
+
 def test_exact_dedup_checks_bytes_behind_a_weak_digest(spark, odd):
     weak = lambda c: exact_dedup.F.substring(exact_dedup.sha256(c), 1, 1)
     got = exact_dedup.dedup(spark, odd, digest=weak).collect()
