@@ -8,8 +8,9 @@ in vain.
 
 No piece runs on past the start of a word (a space mark that follows another
 sign), nor from a letter to most signs, so the lattice falls apart there: such
-units are searched alone, those seen before are remembered, and the N best of
-a text are put together from the N best of its units, without loss.
+units (and the parts of very long ones that no piece crosses) are searched
+alone, those seen before are remembered, and the N best of a text are put
+together from the N best of its units, without loss.
 
 Scores are those of the model. A character without a piece of its own is
 written as its UTF-8 bytes, at the score of the worst piece less ten.
@@ -25,11 +26,13 @@ the input are ignored.
 
 from __future__ import annotations
 
-import heapq
+import gc
 import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import cached_property, lru_cache
+from heapq import heappop, heappush
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -42,10 +45,14 @@ SPACE = "▁"
 SIGNS = ".,;:!?|%#$&*\"'()[]{}<>=+-/\\@^~`"
 UNKNOWN = 10.0
 REMEMBERED = 400_000
-LONGEST = 512  # a longer word isn't remembered
+LONGEST = 512  # letters of the words that are remembered, and more than any piece has
 
 
-def packed(ids: list[int]) -> bytes:
+def _mark(place: int) -> str:
+    return chr(min(place, 0x10FFFF))
+
+
+def packed(ids: Sequence[int]) -> bytes:
     """Ids as little-endian 32-bit integers."""
     return struct.pack(f"<{len(ids)}i", *ids)
 
@@ -82,7 +89,7 @@ class Pieces:
 
     @cached_property
     def mark(self) -> tuple[float, float, int, bytes, bytes]:
-        """What ``first`` gives for a mark of the text itself: its bytes, in one way only."""
+        """What ``seen`` gives for a mark of the text itself: its bytes, in one way only."""
         sign = SPACE.encode()
         return self.unknown, float("inf"), len(sign), packed([self.byte[x] for x in sign]), sign
 
@@ -103,132 +110,121 @@ class Pieces:
 
     # ------------------------------------------------------------ one unit
 
-    def lattice(self, word: str) -> tuple[list[list[tuple[int, float, tuple[int, ...]]]], list[float], list]:
-        """For every place: the pieces (start, score, ids) that end there, the
-        best score of reaching it, and the piece that does."""
+    def lattice(self, word: str) -> list[list[tuple[float, int, tuple[float, tuple[int, ...]]]]]:
+        """For every place the pieces that end there: the score of the best way to
+        the place through the piece (forward Viterbi), where the piece starts, and
+        its own score and ids."""
         n, trie = len(word), self.trie
-        ends: list[list[tuple[int, float, tuple[int, ...]]]] = [[] for _ in range(n + 1)]
-        forward, best = [0.0] * (n + 1), [None] * (n + 1)
-        for a in range(n):
-            if a:  # all pieces that end here are known, from the longest
-                top = -1e300
-                for e in ends[a]:
-                    s = forward[e[0]] + e[1]
-                    if s > top:
-                        top, best[a] = s, e
-                forward[a] = top
-            node, alone = trie, False
-            for b in range(a, n):
-                here = node.get(word[b])
+        ends: list[list] = [[] for _ in range(n + 1)]
+        forward = [-1e300] * (n + 1)
+        forward[0] = 0.0
+        for a in range(n):  # all ways to a are known
+            so_far, node, b, alone = forward[a], trie, a, False
+            for c in word[a : a + LONGEST]:
+                here = node.get(c)
                 if here is None:
                     break
+                b += 1
                 node, found = here
-                if found:
-                    ends[b + 1].append((a, *found))
-                    alone = alone or b == a
+                if found is not None:
+                    if b == a + 1:
+                        alone = True
+                    way = so_far + found[0]
+                    if way > forward[b]:
+                        forward[b] = way
+                    ends[b].append((way, a, found))
             if not alone:
-                ends[a + 1].append((a, self.unknown, tuple(self.byte[x] for x in word[a].encode())))
-        if n:
-            top = -1e300
-            for e in ends[n]:
-                s = forward[e[0]] + e[1]
-                if s > top:
-                    top, best[n] = s, e
-            forward[n] = top
-        return ends, forward, best
+                way, b = so_far + self.unknown, a + 1
+                if way > forward[b]:
+                    forward[b] = way
+                ends[b].append((way, a, (self.unknown, tuple(self.byte[x] for x in word[a].encode()))))
+        return ends
 
     def search(self, word: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
-        """The ``n`` best segmentations of a unit, best first."""
-        ends, forward, _ = self.lattice(word)
-        # backward: (estimate, order, place, score of what follows, pieces that follow)
-        todo = [(-forward[-1], (), len(word), 0.0, ())]
+        """The ``n`` best segmentations of a unit, best first: A-star from its end,
+        with the forward scores as the exact cost of what is still to come.
+
+        Of equal scores, the longer last piece comes first, then the longer one
+        before it, and so on for ``LONGEST`` pieces.
+        """
+        ends = self.lattice(word)
+        todo: list[tuple] = []  # loss, order, place, turn, score of what follows, pieces that follow
+        turn = count()
         out: list[tuple[float, tuple[int, ...]]] = []
-        while todo and len(out) < n:
-            _, order, b, tail, after = heapq.heappop(todo)
-            if b == 0:
+        order, b, tail, after = "", len(word), 0.0, ()
+        while True:
+            if b:
+                ways = ends[b]
+                if len(ways) == 1:
+                    _, b, (s, one) = ways[0]
+                    if len(order) < LONGEST:
+                        order += _mark(b)
+                    tail += s
+                    after = (one, after)
+                    continue
+                for way, a, (s, one) in ways:
+                    heappush(todo, (-way - tail, order + _mark(a) if len(order) < LONGEST else order, a, next(turn), s + tail, (one, after)))
+            else:
                 ids: list[int] = []
                 while after:
                     one, after = after
                     ids.extend(one)
                 out.append((tail, tuple(ids)))
-                continue
-            for a, s, one in ends[b]:
-                # of equal scores, the longer last piece comes first
-                heapq.heappush(todo, (-(forward[a] + s + tail), (*order, a), a, s + tail, (one, after)))
-        return out
-
-    def first(self, word: str) -> tuple[float, float, int, bytes, bytes]:
-        """The search for two: score of the best, what the second loses against
-        it, and the best's number of pieces, packed ids, and decoded bytes.
-
-        The second path leaves the best one at one place only, so it is the
-        cheapest step off the best path among those that the search would queue.
-        """
-        n, trie, none = len(word), self.trie, -1e300
-        forward, other = [none] * (n + 1), [none] * (n + 1)  # best and second best way to a place
-        came, what = [0] * (n + 1), [()] * (n + 1)
-        forward[0] = 0.0
-        for a in range(n):  # all ways to a are known, those by the longest pieces first
-            so_far, node, b = forward[a], trie, a
-            alone = False
-            for c in word[a:]:
-                here = node.get(c)
-                if here is None:
+                if len(out) == n:
                     break
-                b += 1
-                node, found = here
-                if found is not None:
-                    if b == a + 1:
-                        alone = True
-                    s = so_far + found[0]
-                    if s > forward[b]:
-                        other[b] = forward[b]
-                        forward[b], came[b], what[b] = s, a, found[1]
-                    elif s > other[b]:
-                        other[b] = s
-            if not alone:
-                s = so_far + self.unknown
-                if s > forward[a + 1]:
-                    other[a + 1] = forward[a + 1]
-                    forward[a + 1], came[a + 1] = s, a
-                    what[a + 1] = tuple(self.byte[x] for x in word[a].encode())
-                elif s > other[a + 1]:
-                    other[a + 1] = s
-        loses, ids, b = 1e300, [], n
-        while b:
-            if forward[b] - other[b] < loses:
-                loses = forward[b] - other[b]
-            ids.append(what[b])
-            b = came[b]
-        ids.reverse()
-        flat = [i for one in ids for i in one]
-        text = self.text
-        loses = loses if loses < 1e200 else float("inf")
-        return forward[n], loses, len(flat), packed(flat), b"".join([text[i] for i in flat])
+            if not todo:
+                break
+            _, order, b, _, tail, after = heappop(todo)
+        return out
 
     def seen(self, word: str) -> tuple[float, float, int, bytes, bytes]:
+        """Score of a unit's best segmentation, what the second loses against it, and
+        the best's number of pieces, packed ids, and decoded bytes."""
         found = self.known.get(word)
         if found is None:
-            found = self.first(word)
+            (best, ids), *rest = self.search(word, 2)
+            loses = best - rest[0][0] if rest else float("inf")
+            text = self.text
+            found = best, loses, len(ids), packed(ids), b"".join([text[i] for i in ids])
             if len(word) <= LONGEST:
                 if len(self.known) >= REMEMBERED:
                     self.known.clear()
                 self.known[word] = found
         return found
 
+    def _apart(self, word: str) -> Iterator[str]:
+        """A long unit in parts that no piece crosses, so that lattices stay small."""
+        start = reach = 0
+        for a in range(len(word)):
+            if a == reach and a > start:
+                yield word[start:a]
+                start = a
+            node, b = self.trie, a
+            reach = max(reach, a + 1)
+            while b < len(word) and (here := node.get(word[b])) is not None:
+                b += 1
+                node = here[0]
+                if here[1] is not None:
+                    reach = max(reach, b)
+        yield word[start:]
+
     # ------------------------------------------------------------ texts
 
-    def units(self, text: str) -> list[str]:
-        """A mark is put before the text and for every space of it."""
-        return self.unit.findall(SPACE + text.replace(" ", SPACE)) if text else []
-
-    def marked(self, text: str) -> list[str | None]:
-        """The units of a text, with None for each mark that it has itself."""
-        first, *rest = text.split(SPACE)
-        out: list[str | None] = list(self.unit.findall(SPACE + first.replace(" ", SPACE))) if text else []
-        for part in rest:
-            out.append(None)
-            out.extend(self.unit.findall(part.replace(" ", SPACE)))
+    def units(self, text: str) -> list[str | None]:
+        """What is searched alone: a mark is put before the text and for every space
+        of it. None stands for each mark that the text has itself."""
+        if not text:
+            return []
+        if SPACE in text:
+            first, *rest = text.split(SPACE)
+            out: list[str | None] = self.unit.findall(SPACE + first.replace(" ", SPACE))
+            for part in rest:
+                out.append(None)
+                out.extend(self.unit.findall(part.replace(" ", SPACE)))
+        else:
+            out = self.unit.findall(SPACE + text.replace(" ", SPACE))
+        if len(text) > LONGEST and max(map(len, filter(None, out))) > LONGEST:
+            out = [x for u in out for x in (self._apart(u) if u and len(u) > LONGEST else (u,))]
         return out
 
     def summary(self, text: str | None) -> tuple[float, float | None, int, bytes, bytes]:
@@ -236,10 +232,7 @@ class Pieces:
         none), number of pieces, packed ids, and the decoded bytes."""
         text = text or ""
         known = self.known.get
-        if SPACE in text:
-            parts = [self.mark if u is None else known(u) or self.seen(u) for u in self.marked(text)]
-        else:
-            parts = [known(u) or self.seen(u) for u in self.units(text)]
+        parts = [known(u) or (self.mark if u is None else self.seen(u)) for u in self.units(text)]
         if not parts:
             return 0.0, None, 0, b"", b""
         best, loses, n, ids, back = zip(*parts)
@@ -259,7 +252,7 @@ class Pieces:
         """The ``n`` best segmentations of a whole text with their scores."""
         parts = [
             [(self.unknown, tuple(self.byte[x] for x in SPACE.encode()))] if u is None else self.search(u, n)
-            for u in self.marked(text or "")
+            for u in self.units(text or "")
         ]
         total = sum(p[0][0] for p in parts)
         return [
@@ -290,11 +283,15 @@ class Pieces:
 @lru_cache(maxsize=2)
 def _worker(model: bytes) -> Pieces:
     """One for each Python worker, so that units stay remembered between tasks."""
-    return Pieces(model)
+    made = Pieces(model)
+    gc.freeze()  # its tables stay; the collector needn't walk them again and again
+    return made
 
 
 def read_model(spark: SparkSession, path: str = MODEL) -> bytes:
-    """The bytes of the model's file, which lies on the driver."""
+    """The bytes of the model's file, which lies on the driver or, with a scheme, in shared storage."""
+    if "://" in path:
+        return bytes(spark.read.format("binaryFile").load(path).select("content").first()[0])
     with open(path, "rb") as file:
         return file.read()
 

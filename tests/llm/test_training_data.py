@@ -360,23 +360,50 @@ def model():
 
 
 def all_ways(p, word):
-    ends = p.lattice(word)[0]
+    ends = p.lattice(word)
 
     def go(b):
-        return [(0.0, ())] if b == 0 else [(s + x[1], i + x[2]) for x in ends[b] for s, i in go(x[0])]
+        return [(0.0, ())] if b == 0 else [(s + x, i + ids) for _, a, (x, ids) in ends[b] for s, i in go(a)]
 
     return sorted(go(len(word)), key=lambda z: -z[0])
 
 
+def two_best(p, word):
+    """Scores of the best two segmentations, by dynamic programming over both."""
+    best = [[0.0]] + [[] for _ in word]
+    for b in range(1, len(word) + 1):
+        for a in range(b):
+            found = p.score.get(word[a:b])
+            if found is None and b - a == 1:
+                found = (p.unknown, 0)
+            if found is not None:
+                best[b] += [s + found[0] for s in best[a]]
+        best[b] = sorted(best[b], reverse=True)[:2]
+    return best[-1]
+
+
+def test_search_finds_the_best_two(model):
+    rng = random.Random(8)
+    words = [pieces.SPACE + "".join(rng.choice("aeinrstlodhum.,é日") for _ in range(rng.randint(1, 30))) for _ in range(300)]
+    for word in words:
+        assert [s for s, _ in model.search(word, 2)] == pytest.approx(two_best(model, word))
+    long = "日本ab" * 400 + "x" * 700 + "," * 3
+    best, second, n, ids, back = model.summary(long)
+    assert [best, second] == pytest.approx(two_best(model, pieces.SPACE + long), rel=1e-9)
+    assert back.decode()[1:] == long and len(ids) == 4 * n
+    assert [s for s, _ in model.nbest_encode(long, 3)][:2] == pytest.approx([best, second])
+
+
 def test_nbest_against_all_ways(model):
     rng = random.Random(3)
     for _ in range(150):
         text = "".join(rng.choice("abcdehtinorsñ日.,# ") for _ in range(rng.randint(1, 9)))
         want = [s for s, _ in all_ways(model, pieces.SPACE + text.replace(" ", pieces.SPACE))]
         got = model.nbest_encode(text, 3)
-        assert [s for s, _ in got] == want[:3]
+        assert [s for s, _ in got] == pytest.approx(want[:3])
         best, second, n, ids, _ = model.summary(text)
-        assert best == want[0] and (second is None or second == want[1])
+        assert best == pytest.approx(want[0])
+        assert second == pytest.approx(want[1]) if len(want) > 1 else second is None
         assert ids == pieces.packed(got[0][1]) and n == len(got[0][1])
 
 
