@@ -6,10 +6,14 @@ inserted characters weaken a match but don't break it. Landmark words give
 the Nyström map of the kernel, and a linear support vector machine is trained
 on the mapped words of labelled sentences.
 
-Labels are known for texts, not words, so the training is that of several
-instances: a toxic text is represented by its worst words, a clean text by
-all of them, and which words are the worst is settled in rounds. A text's
-score is calibrated from the decisions of its two worst words.
+Labels are known for texts, not words, so the machine learns from witnesses:
+words that far more toxic than clean texts have, themselves or by a beginning
+(Chernoff's bound), against common, rare and hard words of clean texts; the hard
+ones are mined in rounds. The kernel of two sentences is the sum over their
+words, so a text's evidence is the sum of its words' clipped decisions. Evidence
+against that of clean texts of like length, and the two largest decisions, are
+calibrated on texts whose words were not learnt from (each half of the labelled
+texts is judged by what the other half taught).
 
 As the decision is linear in the kernel it folds into one weight for each
 sequence of three letters, so a word costs a few look-ups, and every distinct
@@ -25,7 +29,8 @@ classes every score is the smoothed share of toxic texts; overlong words are
 read in overlapping stretches; other columns of the inputs are ignored.
 
 Learning takes at most ``TOXIC`` toxic and ``CLEAN`` clean labelled texts, those
-of the least MD5 of their ids; everything else covers all rows.
+of the least MD5 of their ids, and from their words at most the numbers that
+stand with ``WITNESSES``; everything else covers all rows.
 """
 
 from __future__ import annotations
@@ -49,12 +54,18 @@ HELD_OUT = 1
 THRESHOLD = 0.7
 TOXIC, CLEAN = 2000, 4000
 COPY = 0.8
+SURE = 14.0  # nats by which a word tells, over some ten thousand words tried
+#: Words that the machine learns from: telling ones (most texts first), common and
+#: rare ones of clean texts, hard ones, and those among which these are sought.
+WITNESSES, COMMON, RARE, HARD, MINED = 4000, 1500, 5000, 1500, 60_000
+ROUNDS = 3
+FLOOR, SOFT = 1e-4, 1e-4  # of the eigenvalues of the map, and of the machine's weights
 DECAY = 0.7
 SPAN = 7  # letters that a sequence may span
 LONG, OVERLAP = 24, 8
 LANDMARKS = 256
-PENALTY = 3e-5  # of the calibration
-MOST_LETTERS = 62
+PENALTY = 2.0  # of the calibration, in texts
+OWN_LETTERS, SHARED = 60, 14
 REMEMBERED = 400_000
 _PAIRS = np.array([(a, b) for b in range(2, SPAN) for a in range(1, b)])
 _WEIGHT = (DECAY ** (_PAIRS[:, 1] + 1)).astype(np.float32)
@@ -108,16 +119,17 @@ def stretches(word: str) -> list[str]:
 
 
 class Letters:
-    """Numbers of the letters that matter; any other letter is 1, and 0 is none."""
+    """Numbers of letters: the commonest have their own, the others share ``SHARED``
+    by code point, so that words of any script stay apart; 0 is none."""
 
     def __init__(self, words: list[str]):
-        common = Counter("".join(words)).most_common(MOST_LETTERS - 2)
-        self.number = {c: k + 2 for k, (c, _) in enumerate(common)}
-        self.size = MOST_LETTERS
-        self.lookup = np.ones(0x110000, np.int8)
+        times = Counter("".join(words))
+        common = sorted(times, key=lambda c: (-times[c], c))[:OWN_LETTERS]
+        self.size = 1 + OWN_LETTERS + SHARED
+        self.lookup = (1 + OWN_LETTERS + np.arange(0x110000) % SHARED).astype(np.int8)
         self.lookup[0] = 0
-        for c, k in self.number.items():
-            self.lookup[ord(c)] = k
+        for k, c in enumerate(common):
+            self.lookup[ord(c)] = k + 1
 
     def sequences(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Codes (words x sequences, 0 for none) of words of about one length, and
@@ -189,13 +201,15 @@ def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 400, pen
 
 @dataclass(frozen=True)
 class Model:
-    """The decision of a word is bias + sum of weights of its sequences / norm."""
+    """The decision of a word is bias + sum of weights of its sequences / norm; that
+    of a text is made from the decisions of its words."""
 
     prior: float
     letters: Letters | None = None
     weight: np.ndarray | None = None
     bias: float = 0.0
-    slope: tuple[float, ...] = ()  # of the decisions of the worst two words, and a constant
+    usual: float = 0.0  # evidence of a word of a clean text
+    slope: tuple[float, ...] = ()  # of the text's features
 
     def decisions(self, words: list[str]) -> np.ndarray:
         pieces = [(k, s) for k, w in enumerate(words) for s in stretches(w)]
@@ -207,16 +221,32 @@ class Model:
             np.maximum.at(out, owner[group], self.weight[code] @ weight / norm + self.bias)
         return out
 
-    def probabilities(self, worst: np.ndarray) -> np.ndarray:
+    def probabilities(self, evidence: np.ndarray) -> np.ndarray:
         if self.letters is None:
-            return np.full(len(worst), self.prior)
-        odds = _features(worst) @ np.array(self.slope)
+            return np.full(len(evidence), self.prior)
+        odds = features(evidence, self.usual) @ np.array(self.slope)
         return 1 / (1 + np.exp(-odds.clip(-50, 50)))
 
 
-def _features(worst: np.ndarray) -> np.ndarray:
-    """The second word may confirm the first but not outweigh it."""
-    return np.column_stack((worst[:, 0].clip(-1, 1), worst[:, 1].clip(-0.3, 0.3), np.ones(len(worst))))
+def evidence_of(decisions: list[list[float]]) -> np.ndarray:
+    """Per text: the evidence of its words (a decision of 1/2 or more counts one, of
+    -1/2 or less nothing), their number, and the two largest decisions."""
+    out = np.zeros((len(decisions), 4))
+    out[:, 2:] = -1
+    for row, found in zip(out, decisions):
+        d = np.array(found)
+        if len(d):
+            top = np.partition(d, max(len(d) - 2, 0))[-2:]
+            row[:2] = (d + 0.5).clip(0, 1).sum(), len(d)
+            row[2] = top.max().clip(-1, 1)
+            row[3] = top.min().clip(-1, 1) if len(d) > 1 else -1
+    return out
+
+
+def features(evidence: np.ndarray, usual: float) -> np.ndarray:
+    """The evidence, against what a clean text of as many words has; and the worst words."""
+    n, words, first, second = evidence.T
+    return np.column_stack((np.log((n + 0.5) / (usual * words + 0.5)), first, second, np.ones(len(n))))
 
 
 class Scorer:
@@ -225,9 +255,9 @@ class Scorer:
     def __init__(self, model: Model):
         self.model, self.seen = model, {}
 
-    def worst(self, texts: list[str | None]) -> np.ndarray:
+    def evidence(self, texts: list[str | None]) -> np.ndarray:
         if self.model.letters is None:
-            return np.zeros((len(texts), 2))
+            return np.zeros((len(texts), 4))
         words = [words_of(t) for t in texts]
         seen = self.seen
         new = list({w for ws in words for w in ws if w not in seen})
@@ -237,15 +267,10 @@ class Scorer:
         for at in range(0, len(new), 4096):
             part = new[at : at + 4096]
             seen.update(zip(part, self.model.decisions(part).tolist()))
-        return worst_two([[seen[w] for w in ws] for ws in words], self.model.bias)
+        return evidence_of([[seen[w] for w in ws] for ws in words])
 
     def __call__(self, texts: list[str | None]) -> np.ndarray:
-        return self.model.probabilities(self.worst(texts))
-
-
-def worst_two(decisions: list[list[float]], none: float) -> np.ndarray:
-    """The two largest decisions of each text, ``none`` where there are fewer."""
-    return np.array([sorted([*heapq.nlargest(2, d), none, none])[-2:][::-1] for d in decisions]).reshape(-1, 2)
+        return self.model.probabilities(self.evidence(texts))
 
 
 # ---------------------------------------------------------------- learning
@@ -261,6 +286,11 @@ def _inserted(words: list[str], rng: np.random.Generator) -> list[str]:
     return out
 
 
+def _starts(word: str) -> set[str]:
+    """A word and its beginnings of four letters and more."""
+    return {word[:n] for n in range(4, len(word))} | {word + "$"}
+
+
 def _grams(word: str) -> set[str]:
     w = f"^{word}"
     return {w[i : i + 4] for i in range(len(w) - 3)}
@@ -269,78 +299,124 @@ def _grams(word: str) -> set[str]:
 def _varied(words: list[str], most: int) -> list[str]:
     """Words of which each has many beginnings, middles or ends that those before lack."""
     covered: set[str] = set()
-    out: list[str] = []
-    for share in (0.5, 0.2):
+    out: dict[str, None] = {}
+    for share in (0.5, 0.2, -1):
         for w in words:
             g = _grams(w)
             if len(out) < most and w not in out and g and len(g - covered) > share * len(g):
-                out.append(w)
+                out[w] = None
                 covered |= g
-    return out
+    return list(out)
 
 
 def _tells(n: int, usual: float) -> bool:
     """Whether ``n`` texts are far more than the usual number, and not by chance (Chernoff's bound)."""
-    return n > 4 * usual and n * np.log(n / usual) - n + usual > 12
+    return n > 4 * usual and n * np.log(n / usual) - n + usual > SURE
+
+
+def _ordered(times: Counter) -> list[str]:
+    return sorted(times, key=lambda w: (-times[w], w))
+
+
+class Teacher:
+    """Learns from the words of labelled texts."""
+
+    def __init__(self, toxic: list[set[str]], clean: list[set[str]], seed: int = 3):
+        self.toxic, self.clean, self.seed = toxic, clean, seed
+
+    def witnesses(self) -> Counter:
+        """Words of toxic texts that tell, themselves or by a beginning, with the number of their texts."""
+        ratio = len(self.toxic) / len(self.clean)
+        in_toxic, in_clean = Counter(), Counter()
+        for ws in self.toxic:
+            in_toxic.update(set().union(*map(_starts, ws)))
+        likely = {g for g, n in in_toxic.items() if n > 2 and _tells(n, 0.5 * ratio)}
+        heads = {g[:4] for g in likely}
+        known = {w: _starts(w) & likely for w in set().union(*self.clean) if f"{w}$"[:4] in heads}
+        marked = {w for w, starts in known.items() if starts}
+        for ws in self.clean:
+            in_clean.update(set().union(*[known[w] for w in ws & marked]))
+        telling = {g for g in likely if _tells(in_toxic[g], (in_clean[g] + 0.5) * ratio)}
+        out = Counter()
+        for ws in self.toxic:
+            out.update(w for w in ws if not telling.isdisjoint(_starts(w)))
+        times = Counter(w for ws in self.clean for w in ws if w in out)
+        return Counter({w: n for w, n in out.items() if n > 2 * ratio * times[w]})
+
+    def words(self) -> tuple[Letters, np.ndarray, float] | None:
+        """The machine on words: letters, weight of every sequence, bias; None without witnesses."""
+        rng = np.random.default_rng(self.seed)
+        seen = self.witnesses()
+        if not seen:
+            return None
+        positive = _ordered(seen)[:WITNESSES]
+        times = Counter(w for ws in self.clean for w in ws)
+        common = [w for w in _ordered(times)[: COMMON + len(seen)] if w not in seen][:COMMON]
+        others = sorted(set(times) - set(common) - set(seen))
+        rng.shuffle(others)
+        hard: list[str] = []
+        for k in range(ROUNDS):
+            negative = list(dict.fromkeys(hard + common + others[:RARE]))
+            more = _inserted(positive, rng)
+            letters = Letters([f"^{w}$" for w in positive + negative])
+            pick = _varied(positive, LANDMARKS // 2) + _varied(hard, LANDMARKS // 4)
+            pick += [negative[i] for i in rng.permutation(len(negative))[: LANDMARKS - len(pick)]]
+            kernel = Kernel(letters, list(dict.fromkeys(s for w in pick for s in stretches(w))))
+            gram = kernel(kernel.landmarks).astype(float)
+            value, vector = np.linalg.eigh((gram + gram.T) / 2)
+            root = vector / np.sqrt(value.clip(FLOOR))  # the Nyström map: kernel values @ root
+            count = np.array([float(seen.get(w, 1)) for w in positive + more] + [np.log1p(times[w]) + 1 for w in negative])
+            side = np.array([1.0] * (len(positive) + len(more)) + [-1.0] * len(negative))
+            parts = [(s, k) for k, w in enumerate(positive + more + negative) for s in stretches(w)]
+            owner = np.array([k for _, k in parts])
+            y, weight = side[owner], np.where(side > 0, count**0.5, count)[owner]
+            weight = weight / np.where(y > 0, weight[y > 0].sum(), weight[y < 0].sum())
+            x = kernel([s for s, _ in parts]).astype(float) @ root
+            w, bias = _svm(x, y, weight, penalty=SOFT)
+            table = np.zeros(letters.size**3, np.float32)
+            table[kernel.row > 0] = (kernel.table @ (root @ w))[kernel.row[kernel.row > 0]]
+            model = Model(0.5, letters, table, bias)
+            if k < ROUNDS - 1:
+                every = common + others[:MINED]
+                got = dict(zip(every, model.decisions(every).tolist()))
+                hard = sorted(got, key=lambda z: (-got[z], z))[:HARD]
+        return letters, table, bias
+
+    def evidence(self, learnt: tuple, texts: list[set[str]]) -> np.ndarray:
+        model = Model(0.5, *learnt)
+        every = sorted(set().union(*texts))
+        got = dict(zip(every, model.decisions(every).tolist()))
+        return evidence_of([[got[w] for w in ws] for ws in texts])
 
 
-def train(toxic: list[set[str]], clean: list[set[str]], share: float, rounds: int = 3, seed: int = 3) -> Model:
-    """toxic, clean: the words of labelled texts; share: of toxic among all labelled."""
-    if len(toxic) < 2 or len(clean) < 2:
+def train(toxic: list[set[str]], clean: list[set[str]], share: float) -> Model:
+    """toxic, clean: the words of labelled texts; share: of toxic among all labelled.
+
+    How words' decisions make a text's score is learnt on texts whose words were
+    not learnt from: each half is judged by what the other half taught.
+    """
+    if min(len(toxic), len(clean)) < 2:
         return Model(share)
-    rng = np.random.default_rng(seed)
-    clean_words = Counter(w for ws in clean for w in ws)
     apart = _unlike(toxic)
-    in_toxic, in_clean = Counter(), Counter()
-    for to, texts in ((in_toxic, apart), (in_clean, clean)):
-        for ws in texts:
-            to.update({g for w in ws for g in _grams(w)})
-    telling = {g for g, n in in_toxic.items() if _tells(n, (in_clean[g] + 0.5) * len(apart) / len(clean))}
-    witness = [w for ws in apart for w in sorted(ws) if w not in clean_words and not telling.isdisjoint(_grams(w))]
-    if not witness:
+    learnt = Teacher(apart, clean).words()
+    if learnt is None:
         return Model(share)
-    common = [w for w, _ in clean_words.most_common(1500)]
-    others = sorted(set(clean_words) - set(common))
-    rng.shuffle(others)
-    negative = common + others[:6000]
-    hard: list[str] = []
-    for k in range(rounds):
-        seen = Counter(witness).most_common(4000)
-        positive = [w for w, _ in seen]
-        more = _inserted(positive, rng)
-        letters = Letters([f"^{w}$" for w in positive + negative])
-        pick = _varied(positive, LANDMARKS // 2)
-        pick += _varied(hard, LANDMARKS // 4)
-        pick += [negative[i] for i in rng.permutation(len(negative))[: LANDMARKS - len(pick)]]
-        kernel = Kernel(letters, list(dict.fromkeys(f"^{w}$"[:LONG] for w in pick)))
-        gram = kernel(kernel.landmarks).astype(float)
-        value, vector = np.linalg.eigh((gram + gram.T) / 2)
-        root = vector / np.sqrt(value.clip(1e-3))  # the Nyström map: kernel values @ root
-        words = positive + more + negative
-        x = kernel([f"^{w}$"[:LONG] for w in words]).astype(float) @ root
-        y = np.array([1.0] * (len(positive) + len(more)) + [-1.0] * len(negative))
-        often = np.log1p([clean_words[w] for w in words]) + 1
-        times = dict(seen)
-        found = np.array([float(times.get(w, 1)) for w in words]) ** 0.5
-        weight = np.where(y > 0, found / found[y > 0].sum(), often / often[y < 0].sum())
-        w, bias = _svm(x, y, weight)
-        table = np.zeros(letters.size**3, np.float32)
-        table[kernel.row > 0] = (kernel.table @ (root @ w))[kernel.row[kernel.row > 0]]
-        model = Model(share, letters, table, bias)
-        every = list(set().union(*toxic) | set(clean_words))
-        got = dict(zip(every, model.decisions(every).tolist()))
-        if k < rounds - 1:
-            witness = []
-            for ws in apart:
-                best = sorted(ws, key=lambda z: (-got[z], z))[:5]
-                witness += [z for z in best if got[z] > 0 and not telling.isdisjoint(_grams(z))]
-            hard = sorted(clean_words, key=lambda z: (-got[z], z))[:1500]
-            negative = list(dict.fromkeys(hard + common + others[:5000]))
-            witness = [z for z in witness if z not in clean_words] or witness or positive
-    worst = worst_two([[got[w] for w in ws] for ws in toxic + clean], bias)
-    y = np.array([1.0] * len(toxic) + [0.0] * len(clean))
-    weight = np.where(y > 0, share / len(toxic), (1 - share) / len(clean))
-    return Model(share, letters, table, bias, _calibrate(_features(worst), y, weight))
+    found, y = [], []
+    for k in (0, 1):
+        half = Teacher(apart[k::2], clean[k::2]).words()
+        if half is None:
+            found, y = [], []
+            break
+        for label, texts in ((1.0, apart[1 - k :: 2]), (0.0, clean[1 - k :: 2])):
+            found.append(Teacher.evidence(None, half, texts))
+            y += [label] * len(texts)
+    if not found:
+        found = [Teacher.evidence(None, learnt, apart), Teacher.evidence(None, learnt, clean)]
+        y = [1.0] * len(apart) + [0.0] * len(clean)
+    evidence, y = np.concatenate(found), np.array(y)
+    usual = (evidence[y == 0, 0].sum() + 1) / (evidence[y == 0, 1].sum() + 1000)
+    weight = np.where(y > 0, share / (y > 0).sum(), (1 - share) / (y == 0).sum())
+    return Model(share, *learnt, usual, _calibrate(features(evidence, usual), y, weight))
 
 
 def _unlike(texts: list[set[str]]) -> list[set[str]]:
@@ -364,13 +440,13 @@ def _unlike(texts: list[set[str]]) -> list[set[str]]:
 
 
 def _calibrate(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, ...]:
-    """Logistic regression with a small penalty, by Newton's method."""
-    start = np.array([2.0, 1.0, -1.0])
-    p = start.copy()
+    """Logistic regression with a small penalty, by Newton's method; no evidence counts against a text."""
+    start = np.array([1.5, 1.0, 1.0, -3.0])
+    p, penalty = start.copy(), PENALTY / len(y)
     for _ in range(60):
         q = 1 / (1 + np.exp(-(z @ p).clip(-30, 30)))
-        g = z.T @ (weight * (q - y)) + PENALTY * (p - start)
-        h = (z * (weight * q * (1 - q))[:, None]).T @ z + PENALTY * np.eye(3)
+        g = z.T @ (weight * (q - y)) + penalty * (p - start)
+        h = (z * (weight * q * (1 - q))[:, None]).T @ z + penalty * np.eye(len(p))
         p = p - np.linalg.solve(h, g).clip(-2, 2)
     return tuple(float(x) for x in p)
 

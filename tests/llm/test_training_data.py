@@ -476,8 +476,26 @@ def test_toxicity_held_out_and_gapped(spark):
     got = [r for r in toxicity.score(spark, docs, labels, model=model).collect() if r.held_out]
     assert all((r.score >= 0.7) == (r.predicted == 1) for r in got)
     assert sum(r.predicted == int(r.doc_id % 5 == 0) for r in got) >= 0.95 * len(got)
-    worst = toxicity.Scorer(model).worst(["a blorgxface of mudwit", "b.l.o.r.g.f.a.c.e and", "m u d w i t now", "nothing of it"])[:, 0]
-    assert worst[:3].min() > 0 > worst[3]
+    texts = ["a blorgxface of mudwit", "b.l.o.r.g.f.a.c.e and", "m u d w i t now", "mud@wit for", "nothing of it"]
+    worst = toxicity.Scorer(model).evidence(texts)[:, 2]
+    assert worst[:4].min() > 0 > worst[4]
+    odd = [(1, "blorgface snivelgit " + LONG), (2, None), (3, ""), (4, "." * 50_000), (4, "x" * 50_000), (None, "mudwit blorgface")]
+    odd = spark.createDataFrame([(*r, "toxic", 1) for r in odd], "doc_id long, text string, label string, toxic int")
+    found = toxicity.score(spark, odd, labels, model=model).collect()
+    assert len(found) == 6 and all(0 <= r.score <= 1 for r in found) and {r.doc_id for r in found if r.predicted} >= {None}
+
+
+def test_toxic_families_of_words_in_other_scripts(spark):
+    rng = random.Random(6)
+    letters = "абвгдежзиклмнопрстуфхцчшщэюя" + "αβγδεζηθικλμνξοπρστυφχψω" + "אבגדהוזחטיכלמנסעפצקרשת"
+    def word(root=""):
+        return root + "".join(rng.choice(letters) for _ in range(rng.randint(3, 7)))
+    def text(bad):
+        return {word() for _ in range(40)} | ({word("гневλβ") for _ in range(3)} if bad else set())
+    model = toxicity.train([text(True) for _ in range(60)], [text(False) for _ in range(300)], 0.16)
+    bad, good = [" ".join(text(True)) for _ in range(30)], [" ".join(text(False)) for _ in range(100)]
+    assert (toxicity.Scorer(model)(bad) >= 0.7).sum() >= 27 and (toxicity.Scorer(model)(good) >= 0.7).sum() == 0
+    assert model == model and toxicity.train([set("ab")], [set("c")], 0.2).letters is None
 
 
 def test_toxic_texts_that_share_a_word_are_no_copies():
