@@ -229,23 +229,48 @@ def test_lm_base_and_normalisation(spark, odd):
 
 def test_network_probabilities_add_up_and_learn():
     rng = np.random.default_rng(0)
-    table = rng.integers(0, 3, (25, 5)).astype(float)
-    table[:, lm.BEGIN] = 0
-    table[:, 3] += 30
-    logs = lm.LogBilinear(5, 8).fit(table, steps=200).log_probabilities()
-    assert np.allclose(np.exp(logs).sum(axis=1), 1)
-    assert (logs.argmax(axis=1) == 3).all()
+    k = 40
+    net = lm.LogBilinear([bytes([97 + j % 7, 97 + j // 7]) for j in range(k)], np.ones(k), 16)
+    a, b = rng.integers(1, k, 60_000), rng.integers(1, k, 60_000)
+    w = 1 + (b * 7) % (k - 1)  # what follows depends on the last symbol alone
+    before = net.log10(a[:500], b[:500], w[:500]).mean()
+    for at in range(0, len(w), 512):
+        net.step(a[at : at + 512], b[at : at + 512], w[at : at + 512], rng)
+    assert net.log10(a[:500], b[:500], w[:500]).mean() > before + 0.5
+    every = np.arange(1, k)
+    for _ in range(50):
+        x, y = rng.integers(0, k, 2)
+        assert (10 ** net.log10(np.full(k - 1, x), np.full(k - 1, y), every)).sum() == pytest.approx(1, abs=1e-4)
+    twin = lm.LogBilinear([bytes([97 + j % 7, 97 + j // 7]) for j in range(k)], np.ones(k), 16)
+    twin.unpack(np.frombuffer(net.packed(), np.float32))
+    assert np.allclose(twin.log10(a[:9], b[:9], w[:9]), net.log10(a[:9], b[:9], w[:9]))
 
 
 def test_lm_sums_to_one_over_words(spark):
-    rows = spark.createDataFrame([(k, "a b c a b d" if k % 2 else "a c") for k in range(20)], "doc_id long, text string")
-    rows = rows.selectExpr("doc_id", "0 as fold", "text")
-    counts = lm.word_counts(rows.select("fold", "text"))
-    model = lm.train(rows, counts)
-    scorer = lm.Scorer(model)
-    vocab = ["a", "b", "c", "d", "zz"]  # the last is unknown
-    first = [scorer(w)[3] - scorer(w)[3] + sum(scorer(w)[2:4][1:]) for w in vocab]
-    assert all(math.isfinite(x) for x in first)
+    rng = random.Random(11)
+    vocab = ["".join(rng.choice("abcdé") for _ in range(rng.randint(1, 5))) for _ in range(400)]
+    texts = [(k, " ".join(rng.choice(vocab) for _ in range(30))) for k in range(60)]
+    rows = spark.createDataFrame(texts, "doc_id long, text string").selectExpr("doc_id", "0 as fold", "text")
+    model = lm.train(rows, lm.word_counts(rows.select("fold", "text")))
+    c = Counter(w for _, t in texts for w in lm.words_of(t) + [b""])
+    assert model.head == c and model.types == len(c)
+    of, shared = model.symbols.of, model.symbols.shared
+    words = [w for w in c if w]
+    for x in range(0, model.symbols.size, 7):
+        for y in (lm.BEGIN, 3, model.symbols.size - 1):
+            every = np.arange(1, model.symbols.size)
+            p = 10 ** (model.net.log10(np.full(len(every), x), np.full(len(every), y), every) - model.log10_room[every])
+            p = dict(zip(every.tolist(), p))
+            total = p[lm.END] + sum(p[of(w)] * ((c[w] + 0.5) if of(w) >= shared else 1) for w in words)
+            total += sum(0.5 * p[s] for s in every.tolist() if s >= shared)  # one unknown word a symbol
+            assert total == pytest.approx(1, abs=1e-4)
+    one = lm.Scorer(model)([texts[0][1], None, "a " + vocab[0]])
+    assert [x[0] for x in one] == [31, 1, 3]
+    symbols = [lm.BEGIN, lm.BEGIN, *(of(w) for w in lm.words_of(texts[0][1])), lm.END]
+    by_hand = sum(
+        model.net.log10(np.array([a]), np.array([b]), np.array([w]))[0] - model.log10_room[w] for a, b, w in zip(symbols, symbols[1:], symbols[2:])
+    ) + sum(math.log10(c[w] + 0.5) for w in lm.words_of(texts[0][1]) if of(w) >= shared)
+    assert one[0][3] == pytest.approx(by_hand, abs=1e-3)
 
 
 # ---------------------------------------------------------------- personal data
