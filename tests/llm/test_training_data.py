@@ -320,6 +320,51 @@ def test_pii_on_odd_rows_and_base_spans_stay(spark, odd):
     assert pii.redact(rows).first().text == "mail [email] or [phone], ip [ip]"
 
 
+#: Sentences written by hand: text, kind (or none) and the span.
+BY_HAND = [
+    ("Please write to anna.meier (at) webmail.org before noon.", "email", "anna.meier (at) webmail.org"),
+    ("Kontakt: j_doe[at]firma[dot]de oder im Büro", "email", "j_doe[at]firma[dot]de"),
+    ("send it to lisa(at)uni-ulm.de, thanks", "email", "lisa(at)uni-ulm.de"),
+    ("reach bob [at] mail [dot] net today", "email", "bob [at] mail [dot] net"),
+    ("contact sales {at} shop.com for prices", "email", "sales {at} shop.com"),
+    ("the host 10 . 0 . 12 . 7 did not answer", "ip", "10 . 0 . 12 . 7"),
+    ("blocked 192[.]168[.]4[.]20 in the firewall", "ip", "192[.]168[.]4[.]20"),
+    ("server at 172 . 16 . 254 . 1 is down", "ip", "172 . 16 . 254 . 1"),
+    ("paid with card 4111.1111.1111.1111 last week", "card", "4111.1111.1111.1111"),
+    ("Karte 5500/0000/0000/0004 wurde belastet", "card", "5500/0000/0000/0004"),
+    ("amex 3782 - 8224 - 6310 - 005 on file", "card", "3782 - 8224 - 6310 - 005"),
+    ("card no 6011_1111_1111_1117 please", "card", "6011_1111_1111_1117"),
+    ("call me at (206) 555-0199 after six", "phone", "(206) 555-0199"),
+    ("Tel. 030/12345678 oder per Post", "phone", "030/12345678"),
+    ("phone 212-555-0147 for details", "phone", "212-555-0147"),
+    ("appelez le 01 42 68 53 00 avant midi", "phone", "01 42 68 53 00"),
+    ("Büro (030) 2270100 zentral", "phone", "(030) 2270100"),
+    ("my mail is peter at home, not here", None, ""),
+    ("released on 2021-03-14 at 12:30", None, ""),
+    ("invoice 2024/000123 is due", None, ""),
+    ("ISBN 978-3-16-148410-0 in stock", None, ""),
+    ("between 1914 and 1918 many left", None, ""),
+    ("total 1,234,567.89 dollars", None, ""),
+    ("sha 9f86d081884c7d659a2feaa0c55ad015", None, ""),
+    ("order no. 8842210034 shipped", None, ""),
+    ("1234 5678 9012 3456 is no card", None, ""),
+    ("born 12/05/1980 in Bonn", None, ""),
+]
+
+
+def test_the_network_adds_spans_of_other_forms(spark, odd):
+    rows = [(k, text) for k, (text, _, _) in enumerate(BY_HAND)]
+    got = {r.doc_id: r for r in pii.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = {k: f"{kind}:{t.index(s)}:{t.index(s) + len(s)}" if kind else "" for k, (t, kind, s) in enumerate(BY_HAND)}
+    right = [got[k].spans == w for k, w in want.items()]
+    assert sum(right) >= 0.9 * len(right)
+    assert sum(r.n_added for r in got.values()) >= 14
+    far = pii.find(["word " * 20_000 + BY_HAND[8][0] + " word" * 20_000], pii.trained())[0]
+    assert far == ([], [(100_000 + BY_HAND[8][0].index("4111"), 2, 100_000 + BY_HAND[8][0].index("4111") + 19)])
+    found = {(r.doc_id, r.spans, r.n_email) for r in pii.scan(odd).collect()}
+    assert {s for _, s, _ in found} == {""} and len(found) == len({r.doc_id for r in odd.collect()})
+
+
 # ---------------------------------------------------------------- decontamination
 
 
