@@ -42,6 +42,12 @@ ENDS_P = frozenset(
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 HOLDS = frozenset("ul ol dl table select div section article aside body main nav footer header form".split())
 _PART = re.compile(r"[a-z]+")
+#: Words of page furniture, looked for in blocks of at most ``SHORT`` words.
+FURNITURE = frozenset(
+    "share tweet twitter facebook email print related menu rights reserved copyright subscribe newsletter login register search comments reply"
+    " advertisement sponsored cookies cookie privacy terms imprint contact home follow tags more read next previous".split()
+)
+SHORT = 12
 
 
 class Blocks(HTMLParser):
@@ -136,6 +142,9 @@ def features(stack: list[tuple[str, tuple[str, ...]]], text: str, linked: int) -
     out.append(f"words:{min(int(np.log2(words)), 7)}")
     out.append(f"links:{min(4, int(5 * linked / max(1, len(text))))}")
     out.append(f"end:{'stop' if text[-1] in '.!?…»”\"' else 'open'}")
+    if words <= SHORT:
+        say = "inner" if "article" in tags or "main" in tags else "says"
+        out += [f"{say}:{w}" for w in FURNITURE.intersection(_PART.findall(text.lower()))]
     if text[0] in "©®" or "©" in text[:30]:
         out.append("copyright")
     if text.count("|") > 2:
@@ -232,7 +241,7 @@ class Chain:
 # ---------------------------------------------------------------- labelled pages
 
 
-def labelled_pages(n: int = 500, seed: int = 4) -> list[str]:
+def labelled_pages(n: int = 700, seed: int = 4) -> list[str]:
     """Invented pages; a block of the article begins with the sign U+E000."""
     rng = np.random.default_rng(seed)
     pick = lambda *x: x[int(rng.integers(len(x)))]
@@ -263,8 +272,36 @@ def labelled_pages(n: int = 500, seed: int = 4) -> list[str]:
             f'<form action="/s"><label>{text(1, 4)}</label><input name="q"><textarea>{text(1, 9)}</textarea><button>{text(1, 2)}</button>{pick("", ps)}</form>',
             f'<div {named("newsletter", "subscribe", "signup", "login", "search")}>{ps}<form><input><button>{text(1, 2)}</button></form></div>',
             f'<div {named("menu", "nav", "navigation", "navbar", "topbar")}><ul>{links(5)}</ul></div>',
+            f"<div>{furniture()}</div>",
         )
 
+    def furniture() -> str:
+        """What surrounds an article, told by its words alone."""
+        return pick(
+            "Share on Twitter Facebook", "Share this", "Tweet", f"Related: {text(2, 6)}", f"Related {text(1, 4)}", "Menu", "All rights reserved.", f"{text(1, 3)} All rights reserved",
+            "Subscribe to our newsletter", "Login | Register", "Home | Contact | Imprint", "Privacy and cookies", "Advertisement", f"Sponsored: {text(1, 6)}", "Print this page",
+            "Read more", "Next", "Previous", "Search", "Terms of use", f"Tags: {text(1, 3)}", "Follow us on Facebook",
+        )
+
+    def plain_page() -> str:
+        """A page of divisions or of table cells without telling names or tags."""
+        box = lambda s: f"<div>{s}</div>"
+        cell = lambda s: f"<td>{s}</td>"
+        anchors = lambda k: " ".join(f'<a href="/x">{text(1, 2)}</a>' for _ in range(k))
+        para = lambda: pick(f"<p>\ue000{text(6, 90)}</p>", f"<div>\ue000{text(10, 90)}</div>", f"<p>\ue000{text(1, 30)}</p>", f"<h2>\ue000{text(1, 8)}</h2>")
+        body = pick("", f"<h1>\ue000{text(2, 9)}</h1>", f"<div>\ue000{text(2, 9)}</div>") + "".join(para() for _ in range(int(rng.integers(1, 8))))
+        around = lambda: pick(furniture(), anchors(int(rng.integers(2, 6))), furniture())
+        if chance(0.5):
+            top = "".join(box(around()) for _ in range(int(rng.integers(0, 4))))
+            low = "".join(box(around()) for _ in range(int(rng.integers(1, 4))))
+            if chance(0.3):
+                body += box(furniture())
+            return top + pick(body, box(body), box(box(body))) + low
+        rows = [f"<tr>{cell(around())}{cell(around())}</tr>" for _ in range(int(rng.integers(0, 3)))]
+        rows.append(f"<tr>{pick(cell(around()), '')}{cell(body)}{pick(cell(around()), '')}</tr>")
+        rows += [f"<tr>{cell(around())}</tr>" for _ in range(int(rng.integers(0, 3)))]
+        return f"<table>{''.join(rows)}</table>"
+
     def main_blocks() -> str:
         out = []
         for _ in range(int(rng.integers(0, 9))):
@@ -277,8 +314,10 @@ def labelled_pages(n: int = 500, seed: int = 4) -> list[str]:
                     f"<table><tr><td>\ue000{text(1, 5)}</td><td>\ue000{text(1, 5)}</td></tr></table>", f"<section><p>{s}</p></section>",
                 )
             )
-            if chance(0.06):
+            if chance(0.12):
                 out.append(noise())
+            if chance(0.06):  # an article may quote such words
+                out.append(f"<p>\ue000{pick(furniture(), 'All rights reserved.')}</p>")
         return "".join(out)
 
     def comments() -> str:
@@ -289,6 +328,10 @@ def labelled_pages(n: int = 500, seed: int = 4) -> list[str]:
     pages = []
     for _ in range(n):
         title = text(2, 10)
+        head = f"<!DOCTYPE html><html><head><title>{title}</title></head><body>"
+        if chance(0.25):
+            pages.append(head + plain_page())
+            continue
         parts = [f"<!DOCTYPE html><html><head><title>{title}</title><style>p{{}}</style><script>var a='<p>';</script></head><body>"]
         if chance(0.4):
             parts.append(f"<header><h1>{text(1, 4)}</h1>{pick('', f'<p>{text(1, 12)}</p>')}</header>" if chance(0.5) else f'<div {named("header", "masthead", "top")}><p>{text(1, 9)}</p></div>')

@@ -420,6 +420,36 @@ def test_extraction_of_odd_pages(spark):
     assert [r.n_chars for r in got] == [len(got[0].text), 0, 0, 0]
 
 
+#: Pages written by hand: html, beginnings of the article's blocks, and of the others.
+PAGES = [("<html><body><div><div><a href='/'>Home</a> <a href='/n'>News</a> <a href='/s'>Sport</a></div><div>Snow closes the mountain roads</div><div>Heavy snow closed three mountain roads on Monday, and the police asked drivers to stay at home until noon.</div><div>Crews worked through the night to clear the pass.</div><div>Share on Twitter Facebook</div><div>Related: Snow closes roads</div><div>All rights reserved.</div></div></body></html>",
+ ["Snow closes the mountain roads","Heavy snow closed","Crews worked"],["Home News","Share on","Related:","All rights"]),
+("<html><body><table><tr><td>Menu</td><td><a href='/a'>One</a> <a href='/b'>Two</a></td></tr><tr><td><a href=x>Archive</a></td><td><h1>Council votes on budget</h1><p>The council voted on Tuesday to accept the budget for the coming year after a long debate.</p><p>Opposition members left early.</p></td></tr><tr><td>All rights reserved.</td></tr></table></body></html>",
+ ["Council votes","The council voted","Opposition members"],["Menu","One Two","Archive","All rights"]),
+("<html><body><nav>Home</nav><article><h1>Title here</h1><p>First para is here.</p><div class='share'>Share this</div><p>Second para has more words in it.</p></article><section class='comments'><p>I disagree with that.</p></section><footer>x</footer></body></html>",
+ ["Title here","First para","Second para"],["Home","Share this","I disagree"]),
+("<html><body><div class='page'><div class='top'><a href=1>A</a><a href=2>B</a></div><div class='c1'><h2>Garden in spring</h2><p>Plant the bulbs early and water them well, then wait for the sun.</p><ul><li>Use good soil.</li><li>Do not water at noon.</li></ul></div><div class='c2'>Subscribe to our newsletter</div></div></body></html>",
+ ["Garden in","Plant the","Use good","Do not water"],["A B","Subscribe"]),
+("<html><body><div><p>Advertisement</p><p>The museum opens a new hall in May with forty paintings from private owners.</p><p>Tickets can be had at the door.</p><p>Follow us on Facebook</p><p>Terms of use</p></div></body></html>",
+ ["The museum","Tickets can"],["Advertisement","Follow us","Terms of"]),
+("<html><body><header><h1>Daily Paper</h1></header><main><h1>River floods town</h1><p>The river rose two metres in a night.</p><blockquote>We lost it all.</blockquote><p>Read more in our special issue about the water and its history in the region of the lakes.</p></main><aside><h3>Popular</h3><ul><li><a href=1>Cats</a></li></ul></aside></body></html>",
+ ["River floods","The river rose","We lost","Read more in our"],["Daily Paper","Popular","Cats"]),
+]
+
+
+def test_extraction_of_pages_by_hand(spark):
+    chain = html_text.trained()
+    for html, keep, drop in PAGES:
+        got = html_text.article(html, chain).split("\n")
+        assert [any(b.startswith(k) for b in got) for k in keep] == [True] * len(keep)
+        assert not any(b.startswith(d) for b in got for d in drop) and len(got) == len(keep)
+    long = "<article>" + "".join(f"<p>Sentence {k} of a long page.</p>" for k in range(20_000)) + "</article>"
+    rows = [(None, None, long, "a"), (1, "u", "<p", "b"), (1, "u", "<div>" * 3000 + "x", None)]
+    rows = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
+    got = sorted(html_text.extract(rows).collect(), key=lambda r: -r.n_chars)
+    assert got[0].page_id is None and got[0].text.count("\n") == 19_999 and len(got) == 3
+    assert html_text.extract(rows.where("page_id > 5")).count() == 0
+
+
 # ---------------------------------------------------------------- pieces
 
 
