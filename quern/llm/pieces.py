@@ -48,8 +48,11 @@ REMEMBERED = 400_000
 LONGEST = 512  # letters of the words that are remembered, and more than any piece has
 
 
+_MARKS = [chr(k) for k in range(LONGEST)]
+
+
 def _mark(place: int) -> str:
-    return chr(min(place, 0x10FFFF))
+    return _MARKS[place] if place < LONGEST else chr(min(place, 0x10FFFF))
 
 
 def packed(ids: Sequence[int]) -> bytes:
@@ -74,13 +77,15 @@ class Pieces:
                     self.score[name] = (sp.get_score(i), i)
         usual = [s for s, _ in self.score.values() if s > -1e8]
         self.unknown = min(usual) - UNKNOWN
-        self.trie: dict = {}  # character -> [what may follow, (score, ids) of the piece so far or None]
+        # character -> [what may follow, (score, ids) of the piece so far or None], from both ends
+        self.trie: dict = {}
+        self.back: dict = {}
         for name, (s, i) in self.score.items():
-            node = self.trie
-            for c in name:
-                here = node.setdefault(c, [{}, None])
-                node = here[0]
-            here[1] = (s, (i,))
+            for node, letters in ((self.trie, name), (self.back, name[::-1])):
+                for c in letters:
+                    here = node.setdefault(c, [{}, None])
+                    node = here[0]
+                here[1] = (s, (i,))
         self.text = [b"" if i in self.of_byte else n.replace(SPACE, " ").encode() for i, n in enumerate(self.names)]
         for i, b in self.of_byte.items():
             self.text[i] = bytes((b,))
@@ -105,21 +110,19 @@ class Pieces:
         """
         joined = {y for n in self.score for x, y in zip(n, n[1:]) if x.isalpha()}
         apart = re.escape("".join(c for c in SIGNS if c not in joined))
-        after = f"{SPACE}*[^\\W\\d_]+(?=[{apart}])|" if apart else ""
-        return f"{after}{SPACE}+[^{SPACE}]*|[^{SPACE}]+"
+        after = f"{SPACE}*+[^\\W\\d_]++(?=[{apart}])|" if apart else ""
+        return f"{after}{SPACE}++[^{SPACE}]*+|[^{SPACE}]++"
 
     # ------------------------------------------------------------ one unit
 
-    def lattice(self, word: str) -> list[list[tuple[float, int, tuple[float, tuple[int, ...]]]]]:
-        """For every place the pieces that end there: the score of the best way to
-        the place through the piece (forward Viterbi), where the piece starts, and
-        its own score and ids."""
-        n, trie = len(word), self.trie
-        ends: list[list] = [[] for _ in range(n + 1)]
-        forward = [-1e300] * (n + 1)
-        forward[0] = 0.0
-        for a in range(n):  # all ways to a are known
-            so_far, node, b, alone = forward[a], trie, a, False
+    def forward(self, word: str) -> list[float]:
+        """The best score of reaching every place (Viterbi)."""
+        n, trie, unknown = len(word), self.trie, self.unknown
+        best = [-1e300] * (n + 1)
+        best[0] = 0.0
+        a = 0
+        for so_far in best:  # all ways to a are known when it is reached
+            b, node, alone = a, trie, False
             for c in word[a : a + LONGEST]:
                 here = node.get(c)
                 if here is None:
@@ -127,43 +130,48 @@ class Pieces:
                 b += 1
                 node, found = here
                 if found is not None:
-                    if b == a + 1:
-                        alone = True
                     way = so_far + found[0]
-                    if way > forward[b]:
-                        forward[b] = way
-                    ends[b].append((way, a, found))
-            if not alone:
-                way, b = so_far + self.unknown, a + 1
-                if way > forward[b]:
-                    forward[b] = way
-                ends[b].append((way, a, (self.unknown, tuple(self.byte[x] for x in word[a].encode()))))
-        return ends
-
-    def search(self, word: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
+                    if way > best[b]:
+                        best[b] = way
+                    if b - a == 1:
+                        alone = True
+            a += 1
+            if not alone and a <= n and so_far + unknown > best[a]:
+                best[a] = so_far + unknown
+        return best
+
+    def search(self, word: str, n: int, ids_of_last: bool = True) -> list[tuple[float, tuple[int, ...]]]:
         """The ``n`` best segmentations of a unit, best first: A-star from its end,
         with the forward scores as the exact cost of what is still to come.
 
+        As they are exact, the first of the queue has the score of the next best
+        whole path; without ``ids_of_last`` the last one is not walked further.
         Of equal scores, the longer last piece comes first, then the longer one
         before it, and so on for ``LONGEST`` pieces.
         """
-        ends = self.lattice(word)
+        best, unknown = self.forward(word), self.unknown
         todo: list[tuple] = []  # loss, order, place, turn, score of what follows, pieces that follow
         turn = count()
         out: list[tuple[float, tuple[int, ...]]] = []
         order, b, tail, after = "", len(word), 0.0, ()
         while True:
             if b:
-                ways = ends[b]
-                if len(ways) == 1:
-                    _, b, (s, one) = ways[0]
-                    if len(order) < LONGEST:
-                        order += _mark(b)
-                    tail += s
-                    after = (one, after)
-                    continue
-                for way, a, (s, one) in ways:
-                    heappush(todo, (-way - tail, order + _mark(a) if len(order) < LONGEST else order, a, next(turn), s + tail, (one, after)))
+                a, node, alone, long = b, self.back, False, len(order) >= LONGEST
+                while a:  # pieces that end at b
+                    here = node.get(word[a - 1])
+                    if here is None:
+                        break
+                    a -= 1
+                    node, found = here
+                    if found is not None:
+                        more = found[0] + tail
+                        heappush(todo, (-best[a] - more, order if long else order + _mark(a), a, next(turn), more, (found[1], after)))
+                        if b - a == 1:
+                            alone = True
+                if not alone:
+                    a, more = b - 1, unknown + tail
+                    one = tuple(self.byte[x] for x in word[a].encode())
+                    heappush(todo, (-best[a] - more, order if long else order + _mark(a), a, next(turn), more, (one, after)))
             else:
                 ids: list[int] = []
                 while after:
@@ -174,6 +182,9 @@ class Pieces:
                     break
             if not todo:
                 break
+            if not ids_of_last and len(out) == n - 1:
+                out.append((-todo[0][0], ()))
+                break
             _, order, b, _, tail, after = heappop(todo)
         return out
 
@@ -182,7 +193,7 @@ class Pieces:
         the best's number of pieces, packed ids, and decoded bytes."""
         found = self.known.get(word)
         if found is None:
-            (best, ids), *rest = self.search(word, 2)
+            (best, ids), *rest = self.search(word, 2, ids_of_last=False)
             loses = best - rest[0][0] if rest else float("inf")
             text = self.text
             found = best, loses, len(ids), packed(ids), b"".join([text[i] for i in ids])
@@ -232,7 +243,10 @@ class Pieces:
         none), number of pieces, packed ids, and the decoded bytes."""
         text = text or ""
         known = self.known.get
-        parts = [known(u) or (self.mark if u is None else self.seen(u)) for u in self.units(text)]
+        units = self.units(text)
+        parts = list(map(known, units))
+        if None in parts:
+            parts = [p or (self.mark if u is None else self.seen(u)) for p, u in zip(parts, units)]
         if not parts:
             return 0.0, None, 0, b"", b""
         best, loses, n, ids, back = zip(*parts)

@@ -460,12 +460,17 @@ def model():
 
 
 def all_ways(p, word):
-    ends = p.lattice(word)
-
-    def go(b):
-        return [(0.0, ())] if b == 0 else [(s + x, i + ids) for _, a, (x, ids) in ends[b] for s, i in go(a)]
-
-    return sorted(go(len(word)), key=lambda z: -z[0])
+    if not word:
+        return [(0.0, ())]
+    out = []
+    for a in range(len(word)):
+        found = p.score.get(word[a:])
+        if found is not None:
+            ways = [(found[0], (found[1],))]
+        else:
+            ways = [(p.unknown, tuple(p.byte[x] for x in word[a].encode()))] if a == len(word) - 1 else []
+        out += [(s + x, i + ids) for x, ids in ways for s, i in all_ways(p, word[:a])]
+    return sorted(out, key=lambda z: -z[0])
 
 
 def two_best(p, word):
