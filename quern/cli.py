@@ -78,7 +78,7 @@ def scrape(spark: SparkSession, cfg: dict) -> dict:
     """From a table of fetched pages (``pages_path``: page_id, url, html): new articles are added to ``out_jsonl``."""
     found = pages.bodies(spark.read.parquet(str(cfg["pages_path"])), cfg.get("min_text_len", 250), cfg.get("drop", ""))
     out = str(cfg["out_jsonl"])
-    if Path(out).exists():
+    if files.exists(spark, out):
         found = pages.unseen(found, files.read_documents(spark, out))
     found = found.persist()
     files.write_documents(found, out, "append")
@@ -427,7 +427,7 @@ def p3_classify(spark: SparkSession, cfg: dict) -> dict:
         model = L.bag_classifier(given.where("split = 'train'"), kind, cfg.get("count_max_features", 1000))
         parts[kind] = L.multiclass_metrics(model.transform(given.where("split = 'test'")))
     each = C.exploded(rows, F.col("words"), "word").persist()
-    known = C.top(C.frequencies(each, "word"), "word", min(cfg.get("pmi_vocab_size", 2000), 2000)).persist()
+    known = C.top(C.frequencies(each, "word"), "word", cfg.get("pmi_vocab_size", 1000)).persist()
     vectors = embeddings.reduced(M.ppmi(each, known, cfg.get("pmi_window", 4)), "ppmi", cfg.get("pmi_vector_size", 100))
     means = M.mean_vectors(each, F.broadcast(vectors)).join(rows.select("doc_id", "split", "label"), "doc_id")
     names = {r.label: k for k, r in enumerate(rows.select("label").distinct().orderBy("label").collect())}  # one row a class

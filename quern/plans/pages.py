@@ -53,13 +53,13 @@ def page_body(spark, sf):
          FROM (SELECT page_id, regexp_extract_all(html, '<a[^>]*href="([^"]*)"', 1) AS l FROM pages))),
        f AS (SELECT link, min({'bucket': bucket, 'ord': ord}) AS f FROM l GROUP BY link),
        r AS (SELECT f.bucket AS bucket, f.ord AS ord, link, row_number() OVER (PARTITION BY f.bucket ORDER BY f.ord, link) AS rn FROM f)
-       SELECT bucket, ord, link FROM r WHERE rn <= 20 ORDER BY bucket, ord, link LIMIT 70""",
+       SELECT bucket, ord, link FROM r WHERE rn <= 50 ORDER BY bucket, ord, link LIMIT 600""",
 )
 def crawl_plan(spark, sf):
     found = F.regexp_extract_all("html", F.lit('<a[^>]*href="([^"]*)"'), F.lit(1))
     rows = table(spark, sf, "pages").select("page_id", F.posexplode(found).alias("i", "link"))
     rows = rows.select((F.col("page_id") % 5).alias("bucket"), (F.col("page_id") * 1000 + F.col("i") + 1).alias("ord"), "link")
-    return P.crawl_plan(rows, 20, 70)
+    return P.crawl_plan(rows, 50, 600)
 
 
 @query(

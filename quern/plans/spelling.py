@@ -10,6 +10,7 @@ from ..operators import spelling as S
 from .corpus import WORDS_SQL, word_rows
 from .registry import query
 
+ASKED = 300
 _V = f"""
 WITH v AS (SELECT w AS word, count(*) AS cnt FROM (SELECT unnest({WORDS_SQL}) AS w FROM documents) GROUP BY w),
 n AS (SELECT word, row_number() OVER (ORDER BY word) AS rn FROM v WHERE length(word) >= 4)
@@ -32,7 +33,7 @@ def _typo(seed: str, w: str) -> str:
 
 _Q = f"""{_V},
 t AS (SELECT word AS meant, {_typo("'7'", "word")} AS query FROM (SELECT word FROM v WHERE length(word) >= 5 AND regexp_full_match(word, '[a-z]+')
-  ORDER BY md5('7~' || word) LIMIT 100)),
+  ORDER BY md5('7~' || word) LIMIT {ASKED})),
 q AS (SELECT DISTINCT query FROM t)
 """
 _CAND = f"""{_Q},
@@ -59,9 +60,9 @@ def vocabulary(spark, sf):
 
 
 def _typos(vocab):
-    """100 words of the vocabulary, each with one mistake: word, query."""
+    """``ASKED`` words of the vocabulary, each with one mistake: word, query."""
     words = vocab.where((F.length("word") >= 5) & F.col("word").rlike("^[a-z]+$"))
-    words = words.orderBy(F.md5(F.concat(F.lit("7~"), "word").cast("binary"))).limit(100)
+    words = words.orderBy(F.md5(F.concat(F.lit("7~"), "word").cast("binary"))).limit(ASKED)
     return words.select("word", T.typo(F.col("word"), F.lit("7"), S.ALPHABET).alias("query"))
 
 

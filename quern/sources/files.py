@@ -123,26 +123,26 @@ def ranked_table(rows: DataFrame, path: str) -> None:
     rows.sparkSession.createDataFrame([(markdown(rows),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}.md")
 
 
-def markdown(rows: DataFrame, most: int = 1000) -> str:
-    """A report's table as Markdown; reports have ``most`` rows at most."""
+def markdown(rows: DataFrame) -> str:
+    """A report's table as Markdown, row by row; what goes into a report is of a chosen size."""
     head = "| " + " | ".join(rows.columns) + " |\n|" + "---|" * len(rows.columns)
-    return "\n".join([head, *("| " + " | ".join(map(str, r)) + " |" for r in rows.limit(most).collect())])
+    return "\n".join([head, *("| " + " | ".join(map(str, r)) + " |" for r in rows.toLocalIterator())])
 
 
 def plain(value):
-    """For JSON: rows become dicts, and infinite or undefined numbers null."""
+    """For JSON: rows become dicts; infinite numbers stay (as Infinity), undefined ones become null."""
     if hasattr(value, "asDict"):
         value = value.asDict(recursive=True)
     if isinstance(value, dict):
         return {k: plain(v) for k, v in value.items()}
     if isinstance(value, (list, tuple)):
         return [plain(v) for v in value]
-    return None if isinstance(value, float) and not math.isfinite(value) else value
+    return None if isinstance(value, float) and math.isnan(value) else value
 
 
-def write_report(report: dict, path: str, most: int = 1000) -> None:
-    """A report of small parts; a DataFrame in it becomes a list of its rows (``most`` at most)."""
-    made = {k: v.limit(most).collect() if isinstance(v, DataFrame) else v for k, v in report.items()}
+def write_report(report: dict, path: str) -> None:
+    """A report of small parts; a DataFrame in it becomes a list of all its rows."""
+    made = {k: list(v.toLocalIterator()) if isinstance(v, DataFrame) else v for k, v in report.items()}
     target = Path(path)
     target.parent.mkdir(parents=True, exist_ok=True)
     target.write_text(json.dumps(plain(made), ensure_ascii=False, indent=2, default=str), encoding="utf-8")
@@ -150,3 +150,9 @@ def write_report(report: dict, path: str, most: int = 1000) -> None:
 
 def read_report(path: str) -> dict:
     return json.loads(Path(path).read_text(encoding="utf-8"))
+
+
+def exists(spark, path: str) -> bool:
+    """Whether a path is there, on whatever file system it names."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
