@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -77,27 +80,91 @@ def ranked(rows: DataFrame, order: list[str]) -> DataFrame:
     return kept.join(sizes, "part").withColumn("rn", S.col("own") + S.col("base")).drop("part", "own", "base")
 
 
+def _hashed(seed: int) -> Column:
+    return F.md5(F.concat_ws("~", F.lit(str(seed)), F.col("doc_id").cast("string")).cast("binary"))
+
+
+def _last_of(keys: DataFrame, ranks: dict[tuple, list[int]], by: list[str]) -> dict[tuple, list[tuple | None]]:
+    """For each group the (key, doc_id) at each of some ranks (from 1; 0 gives None).
+
+    Keys are counted by their first four digits; only the few ranges that hold a
+    wanted rank are then ranked in full, so no task sees a whole group.
+    """
+    head = F.substring("key", 1, 4).alias("head")
+    counts = keys.groupBy(*by, head).agg(F.count(F.lit(1)).alias("n")).orderBy(*by, "head").collect()  # 65536 a group at most
+    upto: dict[tuple, int] = {}
+    wanted, base = set(), {}
+    for r in counts:
+        group = tuple(r[c] for c in by)
+        before = upto.get(group, 0)
+        upto[group] = before + r.n
+        if any(before < k <= before + r.n for k in ranks[group]):
+            wanted.add((*group, r["head"]))
+            base[(*group, r["head"])] = before
+    out: dict[tuple, list[tuple | None]] = {g: [None] * len(ks) for g, ks in ranks.items()}
+    if not wanted:
+        return out
+    heads = keys.where(head.isin(sorted({w[-1] for w in wanted}))).select(*by, "key", "doc_id", head)
+    order = Window.partitionBy(*by, "head").orderBy("key", "doc_id")
+    rows = heads.withColumn("rn", F.row_number().over(order))
+    tests = [
+        (w, k, F.col("head").eqNullSafe(w[-1]) & (F.col("rn") == k - base[w]) & _same(by, w))
+        for w in sorted(wanted, key=repr)
+        for k in ranks[w[:-1]]
+        if base[w] < k <= upto[w[:-1]]
+    ]
+    found = rows.where(functools.reduce(lambda x, y: x | y, [t for _, _, t in tests])).collect()  # as many as ranks
+    for r in found:
+        group = tuple(r[c] for c in by)
+        for at, k in enumerate(ranks[group]):
+            if k == r.rn + base[(*group, r["head"])]:
+                out[group][at] = (r.key, r.doc_id)
+    return out
+
+
+def _same(by: list[str], values: tuple) -> Column:
+    return functools.reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(v) for c, v in zip(by, values)], F.lit(True))
+
+
+def _upto(last: tuple | None) -> Column:
+    """Whether a row comes no later than a (key, doc_id)."""
+    if last is None:
+        return F.lit(False)
+    return (F.col("key") < last[0]) | ((F.col("key") == last[0]) & (F.col("doc_id") <= F.lit(last[1])))
+
+
 def split(docs: DataFrame, seed: int = 42, train: float = 0.8, dev: float = 0.1) -> DataFrame:
-    """``docs`` with ``split``: exact shares in the order of a hash of seed and id."""
-    key = F.md5(F.concat_ws("~", F.lit(str(seed)), F.col("doc_id").cast("string")).cast("binary"))
+    """``docs`` with ``split``: exact shares in the order of a hash of seed and id.
+
+    A filter-like expression on the id: two keys at the borders decide, so the
+    documents themselves are neither sorted nor joined.
+    """
     n = docs.count()
     a = int(n * train)
     b = a + int(n * dev)
-    keyed = ranked(docs.withColumn("key", key), ["key", "doc_id"])
-    name = F.when(F.col("rn") <= a, "train").when(F.col("rn") <= b, "dev").otherwise("test")
-    return keyed.withColumn("split", name).drop("rn", "key")
+    keyed = docs.withColumn("key", _hashed(seed))
+    first, second = _last_of(keyed, {(): [a, b]}, [])[()]
+    name = F.when(_upto(first), "train").when(_upto(second), "dev").otherwise("test")
+    return keyed.withColumn("split", name).drop("key")
 
 
 def stratified(docs: DataFrame, label: str, seed: int = 42, train: float = 0.8, dev: float = 0.5) -> DataFrame:
-    """``docs`` with ``split``, in the same shares for every label."""
-    key = F.md5(F.concat_ws("~", F.lit(str(seed)), F.col("doc_id").cast("string")).cast("binary"))
-    sizes = docs.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-    order = Window.partitionBy(label).orderBy("key", "doc_id")
-    rows = docs.withColumn("key", key).withColumn("rn", F.row_number().over(order)).join(F.broadcast(sizes), label)
-    a = F.floor(F.col("n") * train)
-    b = a + F.floor((F.col("n") - a) * dev)
-    name = F.when(F.col("rn") <= a, "train").when(F.col("rn") <= b, "dev").otherwise("test")
-    return rows.withColumn("split", name).drop("key", "rn", "n")
+    """``docs`` with ``split``, in the same shares for every label; a label's borders are two keys."""
+    keyed = docs.withColumn("key", _hashed(seed))
+    ranks = {}
+    for r in docs.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect():  # one row a label
+        a = math.floor(r.n * train)
+        ranks[(r[label],)] = [a, a + math.floor((r.n - a) * dev)]
+    borders = _last_of(keyed, ranks, [label])
+    spark = docs.sparkSession
+    kind, id_kind = docs.schema[label].dataType.simpleString(), docs.schema["doc_id"].dataType.simpleString()
+    rows = [(g[0], *(first or (None, None)), *(second or (None, None))) for g, (first, second) in borders.items()]
+    names = f"_label {kind}, k1 string, d1 {id_kind}, k2 string, d2 {id_kind}"
+    table = F.broadcast(spark.createDataFrame(rows, names))  # one row a label
+    at = lambda k: (F.col("key") < F.col(f"k{k}")) | ((F.col("key") == F.col(f"k{k}")) & (F.col("doc_id") <= F.col(f"d{k}")))
+    joined = keyed.join(table, F.col(label).eqNullSafe(F.col("_label")))
+    name = F.when(F.coalesce(at(1), F.lit(False)), "train").when(F.coalesce(at(2), F.lit(False)), "dev").otherwise("test")
+    return joined.withColumn("split", name).drop("key", "_label", "k1", "d1", "k2", "d2")
 
 
 def length_stats(rows: DataFrame, size: Column) -> DataFrame:

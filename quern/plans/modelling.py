@@ -52,15 +52,14 @@ _LONG = " UNION ALL ".join(
 def sentences(spark, sf):
     """split and words of every sentence."""
     docs = table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    split = C.split(docs.select("doc_id"))
-    rows = docs.join(split, "doc_id")
+    rows = C.split(docs)
     return rows.select("split", F.explode(T.sentence_words(F.col("text"))).alias("words"))
 
 
-def _events(spark, sf):
-    s = sentences(spark, sf).persist()
-    vocab = N.vocabulary(s).persist()
-    return N.events(s, vocab), vocab
+def _events(spark, sf, order=3):
+    raw = N.raw_events(sentences(spark, sf), order).persist()
+    vocab = N.vocabulary_of(raw).persist()
+    return N.known_events(raw, vocab), vocab
 
 
 def _scored(spark, sf):
@@ -77,8 +76,7 @@ def _top(order: int):
     cols = ["h1", "h2", "w"][3 - order :]
 
     def run(spark, sf):
-        s = sentences(spark, sf)
-        ev = N.events(s, N.vocabulary(s), order).where("split = 'train'")
+        ev = _events(spark, sf, order)[0].where("split = 'train'")
         return ev.select(*cols, F.col("m").alias("cnt")).orderBy(F.desc("cnt"), *cols).limit(50)
 
     return run
