@@ -21,8 +21,7 @@ def vocabulary(sentences: DataFrame, min_count: int = 2) -> DataFrame:
 def raw_events(sentences: DataFrame, order: int = 3) -> DataFrame:
     """split, h1, h2, w (as far as the order goes) and m, how often they occur, in one pass over the text."""
     names = ["h1", "h2", "w"][3 - order :]
-    grams = sentences.select("split", F.explode(T.ngrams(F.col("words"), order)).alias("g"))
-    rows = grams.select("split", *(F.col("g")[k].alias(n) for k, n in enumerate(names)))
+    rows = sentences.select("split", F.inline(T.ngram_structs(F.col("words"), order)).alias(*names))
     return rows.groupBy("split", *names).agg(F.count(F.lit(1)).alias("m"))
 
 
