@@ -21,6 +21,7 @@ from .config import load_yaml
 from .functions import text as T
 from .functions import vectors as V
 from .operators import boundaries, embeddings, recurrent
+from .operators import classification as K
 from .operators import corpus as C
 from .operators import dots as D
 from .operators import learning as L
@@ -417,26 +418,28 @@ def p3_compare(spark: SparkSession, cfg: dict) -> dict:
 
 @task("task", "p3-classify")
 def p3_classify(spark: SparkSession, cfg: dict) -> dict:
-    """Count vectors with three classifiers, and recurrent ones on reduced PPMI document vectors."""
+    """Every feature set with every model, best first; with ``predict_text`` also the best labels of a text,
+    told by ``predict_feature`` fitted on train and dev."""
     docs = documents(spark, cfg).where(F.col("subcategory").isNotNull()).select("doc_id", F.col("subcategory").alias("label"), "text")
-    docs = C.stratified(docs, "label", cfg.get("seed", 42), cfg.get("train_ratio", 0.8)).persist()
-    rows = docs.withColumn("words", F.filter(T.words(F.col("text")), lambda w: F.length(w) >= 2)).where(F.size("words") > 0).persist()
-    parts, weight = {}, L.class_weights(rows.where("split = 'train'"), "label").select("label", "weight")
+    rows = docs.withColumn("words", F.filter(T.words(F.col("text")), lambda w: F.length(w) >= 2)).where(F.size("words") > 0).drop("text")
+    rows = C.stratified(rows, "label", cfg.get("seed", 42), cfg.get("train_ratio", 0.8)).persist()
+    s = K.Settings(
+        cfg.get("count_max_features", 1000), cfg.get("pmi_vocab_size", 1000), cfg.get("pmi_window", 4), cfg.get("pmi_vector_size", 100), cfg.get("vector_epochs", 15),
+        cfg.get("min_count", 3), cfg.get("baseline_c", 1.0), cfg.get("baseline_max_iter", 200), cfg.get("hidden_size", 64), cfg.get("epochs", 8),
+    )
+    table = K.compare(rows, tuple(cfg.get("features", K.FEATURES)), tuple(cfg.get("models", ("logistic", *recurrent.KINDS))), s).persist()
+    weight, more = L.class_weights(rows.where("split = 'train'"), "label").select("label", "weight"), {}
     for kind in ("logistic", "multinomial", "bernoulli"):
         given = rows.join(F.broadcast(weight), "label") if kind == "logistic" else rows  # one row a class
-        model = L.bag_classifier(given.where("split = 'train'"), kind, cfg.get("count_max_features", 1000))
-        parts[kind] = L.multiclass_metrics(model.transform(given.where("split = 'test'")))
-    each = C.exploded(rows, F.col("words"), "word").persist()
-    known = C.top(C.frequencies(each, "word"), "word", cfg.get("pmi_vocab_size", 1000)).persist()
-    vectors = embeddings.reduced(M.ppmi(each, known, cfg.get("pmi_window", 4)), "ppmi", cfg.get("pmi_vector_size", 100))
-    means = M.mean_vectors(each, F.broadcast(vectors)).join(rows.select("doc_id", "split", "label"), "doc_id")
-    names = {r.label: k for k, r in enumerate(rows.select("label").distinct().orderBy("label").collect())}  # one row a class
-    y = F.create_map(*(F.lit(x) for pair in names.items() for x in pair))[F.col("label")]
-    grid = means.select(F.lit("pmi").alias("feature"), "doc_id", "split", y.cast("int").alias("y"), "vec")
-    found = recurrent.train_grid(grid, hidden=cfg.get("hidden_size", 64), epochs=cfg.get("epochs", 8)).persist()
+        model = L.bag_classifier(given.where("split = 'train'"), kind, s.count_words)
+        more[kind] = L.multiclass_metrics(model.transform(given.where("split = 'test'")))
     for kind in recurrent.KINDS:
-        parts[kind] = L.multiclass_metrics(found.where(F.col("model") == kind))
-    return report(cfg, labels=names, **parts)
+        more[kind] = table.where(F.col("model") == kind)
+    if cfg.get("predict_text"):
+        words = spark.createDataFrame([(cfg["predict_text"],)], "text string").select(T.words(F.col("text")).alias("w")).first().w
+        told = K.Predictor.fit(rows.where("split <> 'test'"), cfg.get("predict_feature", "tfidf"), s)
+        more["prediction"] = told.predict_text(spark, [w for w in words if len(w) >= 2])
+    return report(cfg, comparison=table, **more)
 
 
 # ---------------------------------------------------------------- the parser

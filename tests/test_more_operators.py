@@ -38,7 +38,7 @@ def test_small_files(spark, tmp_path):
     (tmp_path / "r.csv").write_text('review;sentiment\n"good; ""very"""; positive\nbad;negative\nodd;neutral\n', encoding="utf-8")
     assert {tuple(r) for r in files.read_reviews(spark, str(tmp_path / "r.csv")).collect()} == {('good; "very"', 1), ("bad", 0)}
     files.write_report({"x": math.inf, "t": counts.orderBy("word")}, str(tmp_path / "r.json"))
-    assert files.read_report(str(tmp_path / "r.json")) == {"x": None, "t": [{"word": w, "cnt": c} for w, c in (("a", 2), ("b", 2), ("c\"", 5))]}
+    assert files.read_report(str(tmp_path / "r.json")) == {"x": float("inf"), "t": [{"word": w, "cnt": c} for w, c in (("a", 2), ("b", 2), ("c\"", 5))]}
 
 
 GOLD = f"""=== SAMPLE 1 ===
