@@ -14,11 +14,12 @@ A word within its symbol has its smoothed training share, so that
 with the symbol's token and type counts C and V, which sums to one over all
 words and one unknown.
 
-Word counts come from all training texts. The network is trained on the texts'
-own contexts by noise-contrastive estimation in numpy: tasks draw minibatches of
-contexts from every training text and noise from the symbols' shares, start from
+Word counts come from all training texts. The network is trained on every
+context of these by noise-contrastive estimation in numpy: tasks go through the
+contexts in minibatches, draw noise from the symbols' shares, start from
 common parameters, and these are averaged over the tasks after each of
-``ROUNDS`` rounds. Small corpora are gone through more than once.
+``ROUNDS`` rounds. Small corpora are gone through more than once; minibatches of
+large ones are larger, so that a step is mostly products of whole matrices.
 
 Scoring is batched matrix products over the tokens of many texts. It looks up the
 ``HEAD`` most frequent words in a table of that bounded size; the rest is joined
@@ -52,12 +53,13 @@ HELD_OUT = 1
 HEAD = 1 << 17
 LEAST_SYMBOLS, MOST_SYMBOLS = 96, 1 << 14
 BEGIN, END = 0, 1
-WIDTH, BATCH, SHARED_NOISE, NOISE = 32, 1024, 64, 6
-EVERY = 16  # of this many contexts of a text, one is drawn in a pass
+WIDTH, SHARED_NOISE, NOISE = 32, 64, 16
+LEAST_BATCH, MOST_BATCH = 1 << 10, 1 << 14  # contexts of a step; beyond WANTED they grow with the corpus
 LOTS, ROUNDS = 64, (0, 8, 24, 64)  # texts are dealt into lots; a round goes from one of these to the next
-WANTED = 1_000_000  # contexts to train on at least, by several passes if need be
+WANTED, PASSES = 1_000_000, 8  # contexts to train on at least, by several passes if need be, but not by more
 PART = 8_000_000  # tokens for each partition of the join of rare words
 FLUSH = 300_000
+CODE = np.uint16  # of symbols
 END_WORD = ""  # no word is empty
 
 
@@ -150,22 +152,6 @@ def choose_symbols(counts: DataFrame, head: list[tuple[str, int]], types: int) -
     return Symbols(own, {e: first + k for k, e in enumerate(endings)}, names, first, len(names) - 1)
 
 
-class _Cache(dict):
-    """Symbols of words seen before, forgotten when they are many."""
-
-    MOST = 200_000
-
-    def __init__(self, symbols: Symbols):
-        super().__init__(symbols.own)
-        self.symbols = symbols
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > self.MOST:
-            self.clear()
-        found = self[word] = self.symbols.of(word)
-        return found
-
-
 # ---------------------------------------------------------------- the network
 
 
@@ -207,40 +193,53 @@ class LogBilinear:
         return self.order[at]
 
     def step(self, a: np.ndarray, b: np.ndarray, w: np.ndarray, rng: np.random.Generator, rate: float = 0.1) -> None:
-        """One step of noise-contrastive estimation on contexts (a, b) followed by w."""
+        """One step of noise-contrastive estimation on contexts (a, b) followed by w.
+
+        The noise is drawn once for all contexts: groups, and symbols of each group for
+        the contexts that its symbols follow. So all but the sums by symbol is products
+        of whole matrices. Biases stand in a last column, against ones.
+        """
         self.__dict__.pop("_contexts", None)
-        p, n, group = self.p, len(w), self.group[w]
-        q = p["r"][a] @ p["A"] + p["r"][b] @ p["B"]
+        p, n, k = self.p, len(w), len(self.share)
+        kind = np.min_scalar_type(k)  # numpy sorts short integers in linear time
+        rank = self.rank[w].astype(kind)
+        order = np.argsort(rank, kind="stable")
+        a, b, rank = a[order].astype(kind), b[order].astype(kind), rank[order]
+        cuts = np.searchsorted(rank, self.start)
+        q = np.ones((n, p["r"].shape[1] + 1), np.float32)
+        q[:, :-1] = (p["r"] @ p["A"]).take(a, axis=0)
+        q[:, :-1] += (p["r"] @ p["B"]).take(b, axis=0)
+        # less the logs of the noise
+        outer = _with_bias(p["g"], p["g0"] - np.log(SHARED_NOISE * self.of_group))
+        inner = _with_bias(p["w"], p["w0"] - np.log(NOISE * self.inside.clip(1e-30)))[self.order]
         noise = rng.choice(len(self.of_group), SHARED_NOISE, p=self.of_group)
-        at = np.concatenate((group, noise))
-        offset = (np.log(SHARED_NOISE * self.of_group) - p["g0"])[at].astype(np.float32)
-        real = 1 - _sigmoid((q * p["g"][group]).sum(axis=1) - offset[:n])
-        false = -_sigmoid(q @ p["g"][noise].T - offset[n:])
-        gq = real[:, None] * p["g"][group] + false @ p["g"][noise]
-        gg = np.concatenate((real[:, None] * q, false.T @ q))
-        g0 = np.concatenate((real, false.sum(axis=0)))
-        out = np.concatenate((w[:, None], self._draw(group, NOISE, rng)), axis=1)
-        offset = np.log(NOISE * self.inside[out].clip(1e-30)).astype(np.float32)
-        score = np.einsum("nd,nkd->nk", q, p["w"][out]) + p["w0"][out] - offset
-        force = -_sigmoid(score)
-        force[:, 0] += 1
-        gq += np.einsum("nk,nkd->nd", force, p["w"][out])
-        gw = (force[:, :, None] * q[:, None, :]).reshape(-1, q.shape[1])
-        ga, gb = gq @ p["A"].T, gq @ p["B"].T
-        up = {"A": p["r"][a].T @ gq, "B": p["r"][b].T @ gq}
-        for name, x in up.items():
-            self._move(name, slice(None), x / n, rate)
-        for name, rows, x in (
-            ("g", at, gg), ("g0", at, g0), ("w", out.ravel(), gw), ("w0", out.ravel(), force.ravel()),
-            ("r", np.concatenate((a, b)), np.concatenate((ga, gb))),
-        ):
-            rows, x = _summed(rows, x)
-            self._move(name, rows, x / n, rate)
-
-    def _move(self, name: str, rows: np.ndarray | slice, x: np.ndarray, rate: float) -> None:
-        x = (x * BATCH**0.5).astype(np.float32)
-        self.seen[name][rows] += x * x
-        self.p[name][rows] += rate * x / np.sqrt(self.seen[name][rows])
+        force, d_outer = _against(q, outer, np.bincount(noise, minlength=len(outer)))
+        d_inner = np.zeros_like(inner)
+        noise = self.rank[self._draw(np.arange(len(outer)), NOISE, rng)]
+        times = np.bincount(noise.ravel(), minlength=k)
+        for g in np.flatnonzero(np.diff(cuts)):
+            rows, members = slice(cuts[g], cuts[g + 1]), slice(self.start[g], self.start[g + 1])
+            pull = _sigmoid(-(q[rows] @ outer[g]))
+            push, d_inner[members] = _against(q[rows], inner[members], times[members])
+            force[rows] += push
+            force[rows] += pull[:, None] * outer[g]
+            d_outer[g] += pull @ q[rows]
+        found = inner.take(rank, axis=0)
+        pull = _sigmoid(-np.einsum("nd,nd->n", q, found))[:, None]
+        d_inner += _summed(rank, pull * q, k)
+        found *= pull
+        force += found
+        by_a, by_b = np.argsort(a, kind="stable"), np.argsort(b, kind="stable")
+        of_a = _summed(a[by_a], force.take(by_a, axis=0), k)[:, :-1]
+        of_b = _summed(b[by_b], force.take(by_b, axis=0), k)[:, :-1]
+        d_inner = d_inner[self.rank]
+        for name, x in {
+            "A": p["r"].T @ of_a, "B": p["r"].T @ of_b, "r": of_a @ p["A"].T + of_b @ p["B"].T,
+            "g": d_outer[:, :-1], "g0": d_outer[:, -1], "w": d_inner[:, :-1], "w0": d_inner[:, -1],
+        }.items():
+            x = x / np.float32(n**0.5)
+            self.seen[name] += x * x
+            p[name] += np.float32(rate) * x / np.sqrt(self.seen[name])
 
     def log10(self, a: np.ndarray, b: np.ndarray, w: np.ndarray, part: int = 4096) -> np.ndarray:
         """log10 P(w | a, b), normalised over all symbols but BEGIN.
@@ -287,6 +286,25 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x.clip(-30, 30)))
 
 
+def _with_bias(x: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    return np.concatenate((x, bias[:, None]), axis=1, dtype=np.float32)
+
+
+def _against(q: np.ndarray, x: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The forces of noise, rows of ``x`` drawn ``times`` each, on ``q`` and on ``x``."""
+    drawn = np.flatnonzero(times)
+    weight = -times[drawn, None].astype(np.float32)
+    y = x[drawn]
+    s = q @ -y.T
+    np.clip(s, -30, 30, out=s)
+    np.exp(s, out=s)
+    s += 1
+    np.reciprocal(s, out=s)
+    found = np.zeros_like(x)
+    found[drawn] = (s.T @ q) * weight
+    return s @ (y * weight), found
+
+
 def _log_sum(s: np.ndarray) -> np.ndarray:
     """Logs of the rows' sums of exponentials; overwrites ``s``."""
     top = s.max()
@@ -300,51 +318,59 @@ def _log_sum(s: np.ndarray) -> np.ndarray:
     return top + np.log((s @ np.ones(s.shape[1], s.dtype)).astype(np.float64))
 
 
-def _summed(rows: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sums of the values of each distinct row."""
-    order = np.argsort(rows, kind="stable")
-    rows = rows[order]
+def _summed(rows: np.ndarray, x: np.ndarray, size: int) -> np.ndarray:
+    """Sums of the values of each of ``size`` rows, which come in order."""
     first = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))
-    return rows[first], np.add.reduceat(x[order], first, axis=0)
+    out = np.zeros((size, x.shape[1]), x.dtype)
+    out[rows[first]] = np.add.reduceat(x, first, axis=0)
+    return out
+
+
+def contexts(raw: list[bytes], sizes: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The two symbols before, and each symbol, of texts of these codes; where texts begin."""
+    s = np.frombuffer(b"".join(raw), CODE).astype(np.int64)
+    first = np.cumsum([0, *sizes[:-1]])
+    b = np.concatenate(([BEGIN], s[:-1]))
+    b[first] = BEGIN
+    a = np.concatenate(([BEGIN], b[:-1]))
+    a[first] = BEGIN
+    return a, b, s, first
 
 
-def fit(rows: DataFrame, symbols: Symbols, share: np.ndarray, tokens: int) -> LogBilinear:
-    """Train on the contexts of all training texts."""
-    net = LogBilinear(symbols.names, share)
+def fit(coded: DataFrame, names: list[bytes], share: np.ndarray, tokens: int) -> LogBilinear:
+    """Train on every context of all training texts, ``passes`` times on each."""
+    net = LogBilinear(names, share)
     if not tokens:
         return net
-    passes = min(64, max(1, -(-WANTED * EVERY // tokens)))
-    sc = rows.sparkSession.sparkContext
-    text = rows.where(F.col("fold") != HELD_OUT).select("text", F.pmod(F.xxhash64("text"), F.lit(LOTS)).alias("lot"))
+    passes = min(PASSES, max(1, -(-WANTED // tokens)))
+    size = min(MOST_BATCH, max(LEAST_BATCH, LEAST_BATCH * tokens // WANTED))
+    sc = coded.sparkSession.sparkContext
     for turn, (low, high) in enumerate(pairwise(ROUNDS)):
-        sent = sc.broadcast((symbols, net))
+        sent = sc.broadcast(net)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent, turn=turn) -> Iterator[dict]:
-            symbols, net = sent.value
-            known, rng = _Cache(symbols), np.random.default_rng((turn, TaskContext.get().partitionId()))
-            steps, codes, held = 0, [], 0
+            net, rng = sent.value, np.random.default_rng((turn, TaskContext.get().partitionId()))
+            steps, codes, sizes, held = 0, [], [], 0
 
             def learn() -> int:
-                s = np.concatenate(codes)
-                a, b, w = s[:-2], s[1:-1], s[2:]
-                fits = np.flatnonzero(w != BEGIN)  # contexts don't run on into the next text
+                a, b, w, _ = contexts(codes, sizes)
                 n = 0
                 for _ in range(passes):
-                    drawn = rng.permutation(fits)[: max(1, len(fits) // EVERY)]
-                    for at in range(0, len(drawn), BATCH):
-                        pick = drawn[at : at + BATCH]
+                    mixed = rng.permutation(len(w))
+                    for at in range(0, len(mixed), size):
+                        pick = mixed[at : at + size]
                         net.step(a[pick], b[pick], w[pick], rng)
                         n += 1
                 return n
 
             for batch in batches:
-                for part in slices(batch):
-                    for t in part.column("text").to_pylist():
-                        codes.append(np.array([BEGIN, BEGIN, *map(known.__getitem__, words_of(t)), END], np.int64))
-                        held += len(codes[-1])
+                for part in slices(batch, 2 * FLUSH):
+                    codes += part.column("codes").to_pylist()
+                    sizes += (new := part.column("n_tokens").to_pylist())
+                    held += sum(new)
                     if held > FLUSH:
                         steps += learn()
-                        codes, held = [], 0
+                        codes, sizes, held = [], [], 0
             if codes:
                 steps += learn()
             if steps:
@@ -360,8 +386,8 @@ def fit(rows: DataFrame, symbols: Symbols, share: np.ndarray, tokens: int) -> Lo
                 yield {"task": [0], "n": [n], "raw": [(total / n).astype(np.float32).tobytes()]}
 
         kind = "task int, n bigint, raw binary"
-        lot = text.where(F.col("lot").between(low, high - 1)).select("text")
-        parts = map_batches(lot, run, kind)
+        lots = coded.where((F.col("fold") != HELD_OUT) & F.col("lot").between(low, high - 1))
+        parts = map_batches(lots.select("n_tokens", "codes"), run, kind)
         parts = map_batches(parts.repartition(16, "task"), merge, kind)
         found = parts.collect()  # 16 rows at most, each of the network's size
         if found:
@@ -376,13 +402,13 @@ def fit(rows: DataFrame, symbols: Symbols, share: np.ndarray, tokens: int) -> Lo
 
 
 @dataclass(frozen=True)
-class Model:
-    """All that scoring needs but the counts of words outside ``head``."""
+class Vocabulary:
+    """All that comes from the counts, but those of words outside ``head``."""
 
     symbols: Symbols
     head: dict[bytes, int]  # word -> c in training texts
-    net: LogBilinear
     log10_room: np.ndarray  # of C + (V + 1)/2 of each symbol of many words, else 0
+    share: np.ndarray  # training tokens of each symbol, plus 1/2
     tokens: int
     types: int
 
@@ -391,8 +417,15 @@ class Model:
         return math.log10(self.tokens + 0.5 * (self.types + 1))
 
 
-def train(rows: DataFrame, counts: DataFrame, head_size: int = HEAD) -> Model:
-    """rows: fold and text of all documents; counts: of word_counts."""
+@dataclass(frozen=True)
+class Model(Vocabulary):
+    """All that scoring needs but the counts of words outside ``head``."""
+
+    net: LogBilinear
+
+
+def vocabulary(counts: DataFrame, head_size: int = HEAD) -> Vocabulary:
+    """counts: of word_counts."""
     tokens, types = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
     top = counts.orderBy(F.desc("c_all"), "word").limit(head_size).select("word", "c").toArrow()
     head = {w.encode(): c for w, c in zip(top.column("word").to_pylist(), top.column("c").to_pylist())}
@@ -405,27 +438,27 @@ def train(rows: DataFrame, counts: DataFrame, head_size: int = HEAD) -> Model:
     for g, c, v in _by_group(counts, lambda w: None if w in own else str(symbols.of(w))).collect():  # one row a symbol
         room[int(g)] = math.log10(c + 0.5 * (v + 1))
         share[int(g)] += c
-    return Model(symbols, head, fit(rows, symbols, share, tokens), room, tokens, types)
+    return Vocabulary(symbols, head, room, share, tokens, types)
 
 
-class Scorer:
-    """Per text: tokens, and sums over those whose counts are in the model."""
+class Coder:
+    """Per text: its symbols, and sums over the words whose counts are in the vocabulary."""
 
-    def __init__(self, model: Model):
-        self.model = model
-        self.at = {w: k for k, w in enumerate(model.head)}
-        c = np.array([*model.head.values(), 0], float)
+    def __init__(self, known: Vocabulary):
+        self.symbols, self.room = known.symbols, known.log10_room
+        self.at = {w: k for k, w in enumerate(known.head)}
+        c = np.array([*known.head.values(), 0], float)
         self.log_c = np.log10(c + 0.5)
         self.known = c > 0
-        self.symbol = np.array([*map(model.symbols.of, model.head), 0], np.int64)
+        self.symbol = np.array([*map(known.symbols.of, known.head), 0], np.int64)
         self.log_c[-1] = 0  # of words outside the head
 
-    def __call__(self, texts: list[str | None]) -> list[tuple[int, int, float, float, dict[bytes, int]]]:
-        """Per text: n_tokens, n_known, sum of log10(c + 1/2), the symbols' part of
-        the score, and the words left with their numbers."""
+    def __call__(self, texts: list[str | None]) -> list[tuple[int, int, float, float, dict[bytes, int], bytes]]:
+        """Per text: n_tokens, n_known, sum of log10(c + 1/2), the logs of the words'
+        shares in their symbols, the words left with their numbers, and the codes."""
         if not texts:
             return []
-        symbols, words, sizes = self.model.symbols, [], []
+        symbols, words, sizes = self.symbols, [], []
         for t in texts:
             w = words_of(t)
             words += w
@@ -438,18 +471,16 @@ class Scorer:
         s[out] = [*map(symbols.of, rest)]
         cuts = np.concatenate(([0], np.cumsum(sizes)))
         first = cuts[:-1]
-        b = np.concatenate(([BEGIN], s[:-1]))
-        b[first] = BEGIN
-        a = np.concatenate(([BEGIN], b[:-1]))
-        a[first] = BEGIN
         log_c = self.log_c[at]
-        part = self.model.net.log10(a, b, s) - self.model.log10_room[s] + np.where(s >= symbols.shared, log_c, 0)
+        inner = np.where(s >= symbols.shared, log_c, 0) - self.room[s]
         owner = np.searchsorted(cuts, out, "right") - 1
         left: list[dict[bytes, int]] = [{} for _ in texts]
         for k, w in zip(owner.tolist(), rest):
             left[k][w] = left[k].get(w, 0) + 1
-        sums = [np.add.reduceat(x, first).tolist() for x in (self.known[at].astype(np.int64), log_c, part)]
-        return list(zip(sizes, *sums, left))
+        sums = [np.add.reduceat(x, first).tolist() for x in (self.known[at].astype(np.int64), log_c, inner)]
+        raw, wide = s.astype(CODE).tobytes(), np.dtype(CODE).itemsize
+        codes = [raw[wide * x : wide * y] for x, y in pairwise(cuts.tolist())]
+        return list(zip(sizes, *sums, left, codes))
 
 
 class _Repeat:
@@ -461,39 +492,85 @@ class _Repeat:
 _MISSING = _Repeat()
 
 
-def score(spark: SparkSession, docs: DataFrame, head_size: int = HEAD) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score."""
-    space = Workspace(spark, "lm")
-    rows = docs.select("doc_id", crc_fold(F.col("doc_id"), FOLDS).alias("fold"), "text")
-    counts = space.save(word_counts(rows.select("fold", "text")), "counts")
-    model = train(rows, counts, head_size)
-    sent = spark.sparkContext.broadcast(model)
-    kind = docs.schema["doc_id"].dataType.simpleString()
+def code(rows: DataFrame, known: Vocabulary, *others: str) -> DataFrame:
+    """rows: fold and text, and ``others``. Per text: row, a number of its own, the
+    others, fold, lot, and what ``Coder`` says."""
+    sent = rows.sparkSession.sparkContext.broadcast(known)
+    kinds = [f"{n} {rows.schema[n].dataType.simpleString()}" for n in others]
+    rows = rows.select(*others, "fold", "text", F.pmod(F.xxhash64("text"), F.lit(LOTS)).alias("lot"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        scorer, task, n = Scorer(sent.value), TaskContext.get().partitionId() << 33, 0
+        coder, task, n = Coder(sent.value), TaskContext.get().partitionId() << 33, 0
         for batch in batches:
             for part in slices(batch, 2 << 20):
-                got = scorer(part.column("text").to_pylist())
+                got = coder(part.column("text").to_pylist())
                 yield {
+                    **{name: part.column(name) for name in (*others, "fold", "lot")},
                     "row": range(task + n, task + n + len(got)),
-                    "doc_id": part.column("doc_id"), "fold": part.column("fold"),
                     "n_tokens": [x[0] for x in got], "n_known": [x[1] for x in got],
-                    "log_c": [x[2] for x in got], "part": [x[3] for x in got],
+                    "log_c": [x[2] for x in got], "inner": [x[3] for x in got],
                     "words": [[*x[4]] for x in got], "times": [[*x[4].values()] for x in got],
+                    "codes": [x[5] for x in got],
                 }
                 n += len(got)
 
-    # written once: the row numbers below must not depend on a task's repeat
-    scored = space.save(
-        map_batches(
-            rows, run,
-            f"row bigint, doc_id {kind}, fold bigint, n_tokens bigint, n_known bigint, log_c double, part double,"
-            " words array<string>, times array<int>",
-        ),
-        "scored",
+    return map_batches(
+        rows, run,
+        ", ".join(["row bigint", *kinds, "fold bigint, lot bigint, n_tokens bigint, n_known bigint, log_c double"])
+        + ", inner double, words array<string>, times array<int>, codes binary",
     )
-    rest = scored.select("row", F.inline(F.arrays_zip("words", "times")).alias("word", "times"))
+
+
+def train(rows: DataFrame, counts: DataFrame, head_size: int = HEAD) -> Model:
+    """rows: fold and text of all documents; counts: of word_counts."""
+    known = vocabulary(counts, head_size)
+    return Model(**vars(known), net=fit(code(rows, known), known.symbols.names, known.share, known.tokens))
+
+
+def network_scores(net: LogBilinear, codes: list[bytes], sizes: list[int]) -> list[float]:
+    """log10 of the symbols' probability, per text."""
+    if not codes:
+        return []
+    *found, first = contexts(codes, sizes)
+    return np.add.reduceat(net.log10(*found), first).tolist()
+
+
+class Scorer:
+    """Codes texts and scores them by the network."""
+
+    def __init__(self, model: Model):
+        self.net, self.coder = model.net, Coder(model)
+
+    def __call__(self, texts: list[str | None]) -> list[tuple[int, int, float, float, dict[bytes, int]]]:
+        """Per text: n_tokens, n_known, sum of log10(c + 1/2), the symbols' part of
+        the score, and the words left with their numbers."""
+        got = self.coder(texts)
+        part = network_scores(self.net, [x[5] for x in got], [x[0] for x in got])
+        return [(n, known, log_c, inner + x, left) for (n, known, log_c, inner, left, _), x in zip(got, part)]
+
+
+def score(spark: SparkSession, docs: DataFrame, head_size: int = HEAD) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score."""
+    space = Workspace(spark, "lm")
+    rows = docs.select("doc_id", crc_fold(F.col("doc_id"), FOLDS).alias("fold"), "text")
+    counts = space.save(word_counts(rows.select("fold", "text")), "counts")
+    model = vocabulary(counts, head_size)
+    # written once: texts are cut into words once for training and scoring, and the
+    # row numbers must not depend on a task's repeat
+    coded = space.save(code(rows, model, "doc_id"), "coded")
+    sent = spark.sparkContext.broadcast(fit(coded, model.symbols.names, model.share, model.tokens))
+    kept = ["row", "doc_id", "fold", "n_tokens", "n_known", "log_c"]
+    kinds = ", ".join(f"{n} {coded.schema[n].dataType.simpleString()}" for n in kept)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for batch in batches:
+            for part in slices(batch, 2 * FLUSH):
+                found = network_scores(sent.value, part.column("codes").to_pylist(), part.column("n_tokens").to_pylist())
+                inner = part.column("inner").to_numpy(zero_copy_only=False)
+                yield {**{n: part.column(n) for n in kept}, "part": inner + np.array(found)}
+
+    scored = map_batches(coded.select(*kept, "inner", "codes"), run, f"{kinds}, part double")
+    rest = coded.select("row", F.inline(F.arrays_zip("words", "times")).alias("word", "times"))
     known = counts.select("word", "c")
     parts = model.tokens // PART
     if parts > int(spark.conf.get("spark.sql.shuffle.partitions")):
@@ -503,7 +580,7 @@ def score(spark: SparkSession, docs: DataFrame, head_size: int = HEAD) -> DataFr
         F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("rest_known"),
     )
     log_c = F.coalesce("rest_log_c", F.lit(0.0))
-    return scored.drop("words", "times").join(rest, "row", "left").select(
+    return scored.join(rest, "row", "left").select(
         "doc_id",
         (F.col("fold") == HELD_OUT).alias("held_out"),
         "n_tokens",

@@ -8,12 +8,15 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 from quern.llm import (
-    components, decontamination, exact_dedup, html_text, lm, pieces, pii, quality, sharding, simhash, toxicity,
+    common, components, decontamination, exact_dedup, html_text, lm, pieces, pii, quality, sharding, simhash, toxicity,
 )
 from quern.llm.common import Workspace
 
@@ -273,6 +276,42 @@ def test_lm_sums_to_one_over_words(spark):
     assert one[0][3] == pytest.approx(by_hand, abs=1e-3)
 
 
+def test_network_is_trained_on_every_context(spark, monkeypatch):
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice("abcdefghij") for _ in range(rng.randint(0, 60))) for _ in range(200)] + [None]
+    rows = spark.createDataFrame([(k % 5, t) for k, t in enumerate(texts)], "fold long, text string")
+    found, step = Counter(), lm.LogBilinear.step
+
+    def noted(net, a, b, w, *rest):
+        found.update(zip(a.tolist(), b.tolist(), w.tolist()))
+        step(net, a, b, w, *rest)
+
+    class Here:
+        def get():
+            return Here
+
+        def partitionId():
+            return 0
+
+    def here(df, fn, schema):
+        kind = to_arrow_schema(_parse_datatype_string(schema))
+        made = fn(iter(df.toArrow().to_batches()))
+        made = [pa.record_batch([common._column(out[f.name], f.type) for f in kind], schema=kind) for out in made]
+        return spark.createDataFrame(pa.Table.from_batches(made, kind))
+
+    monkeypatch.setattr(lm.LogBilinear, "step", noted)
+    monkeypatch.setattr(lm, "TaskContext", Here)
+    monkeypatch.setattr(lm, "map_batches", here)
+    model = lm.train(rows, lm.word_counts(rows))
+    wanted = Counter()
+    for k, t in enumerate(texts):
+        s = [lm.BEGIN, lm.BEGIN, *map(model.symbols.of, lm.words_of(t)), lm.END]
+        if k % 5 != lm.HELD_OUT:
+            wanted.update(zip(s, s[1:], s[2:]))
+    passes = found.total() // wanted.total()
+    assert passes >= 1 and found == Counter({c: n * passes for c, n in wanted.items()})
+
+
 # ---------------------------------------------------------------- personal data
 
 
