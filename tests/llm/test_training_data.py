@@ -213,6 +213,23 @@ def test_exact_dedup_goes_on_with_its_state(spark):
     assert {r.doc_id: r.keep_id for r in d.result().collect()} == {1: 3, 2: 2, 3: 3, 4: 4}
 
 
+def test_dedup_bounds_the_memory_of_its_stores(spark, monkeypatch):
+    seen, save = {}, type(spark.conf).set
+
+    def noted(conf, key, value):
+        seen[key] = value
+        save(conf, key, value)
+
+    monkeypatch.setattr(type(spark.conf), "set", noted)
+    d = exact_dedup.StreamingDeduplicator(spark)
+    d.ingest(spark.createDataFrame([(k, f"text {k % 7}") for k in range(50)], "doc_id long, text string"))
+    d.ingest(spark.createDataFrame([(99, "TEXT 3")], "doc_id long, text string"))
+    store = "spark.sql.streaming.stateStore"
+    assert seen[f"{store}.unloadOnCommit"] == seen[f"{store}.rocksdb.boundedMemoryUsage"] == "true"
+    got = {r.doc_id: (r.keep_id, r.group_size) for r in d.result().collect()}
+    assert got[99] == got[3] == (99, 8) and got[0] == (49, 8) and len(got) == 51
+
+
 # ---------------------------------------------------------------- language model
 
 
