@@ -29,11 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, gathered, kept_rows, map_batches, slices
+from .common import Workspace, gathered, held, kept_rows, map_batches, slices
 
 WINDOW = 10
 MOST, BYTES = 200_000, 64 << 20
 BUFFER = 64 << 20
+HOLDS = "matcher"
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 #: Lower-cases A-Z and blanks every other ASCII character but digits and a-z.
 TABLE = bytes(
@@ -114,20 +115,17 @@ class Matchers:
     """The automata of all blocks. A Python worker keeps the last one that it
     built, so that with one block it is built once, not in every task."""
 
-    _held: tuple[str, int] | None = None
-    _matcher: Matcher | None = None
-
     def __init__(self, blocks: list):
         self.name, self.blocks = uuid.uuid4().hex, blocks
 
     def block(self, k: int) -> Matcher:
-        if Matchers._held != (self.name, k):
-            Matchers._matcher = None
-            Matchers._matcher = Matcher(self.blocks[k].value)
-            Matchers._held = (self.name, k)
+        def make() -> Matcher:
+            made = Matcher(self.blocks[k].value)
             if len(self.blocks) > 1:
                 self.blocks[k].__dict__.pop("_value", None)  # read again when needed
-        return Matchers._matcher
+            return made
+
+        return held(HOLDS, (self.name, k), make)
 
     def scan(self, texts: list[str | None]) -> list[tuple[int, list[list[int]], set[str]]]:
         """What ``Matcher.scan`` gives for each text, over all blocks."""
@@ -178,7 +176,7 @@ def scan(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int
 
     spans = "array<struct<start: int, end: int>>"
     return map_batches(
-        docs.select("doc_id", "text"), run, f"doc_id {kind}, n_words bigint, hits {spans}, chars {spans}, items array<string>"
+        docs.select("doc_id", "text"), run, f"doc_id {kind}, n_words bigint, hits {spans}, chars {spans}, items array<string>", HOLDS
     )
 
 
@@ -186,4 +184,4 @@ def clean(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: in
     """The rows of ``docs`` without any run of benchmark words."""
     found = matchers(spark, benchmark, window)
     size = BUFFER if len(found.blocks) > 1 else 1
-    return kept_rows(docs, "text", lambda texts: [not runs for _, runs, _ in found.scan(texts)], size)
+    return kept_rows(docs, "text", lambda texts: [not runs for _, runs, _ in found.scan(texts)], size, HOLDS)

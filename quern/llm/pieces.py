@@ -30,7 +30,7 @@ import gc
 import re
 import struct
 from collections.abc import Iterator, Sequence
-from functools import cached_property, lru_cache
+from functools import cached_property
 from heapq import heappop, heappush
 from itertools import count
 
@@ -38,7 +38,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import map_batches, slices
+from .common import held, map_batches, slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -294,14 +294,20 @@ class Pieces:
         return b"".join([self.text[i] for i in ids]).decode("utf-8", "replace")[1:]
 
 
-@lru_cache(maxsize=2)
-def _worker(model: bytes) -> Pieces:
-    """One for each Python worker, so that units stay remembered between tasks."""
+HOLDS = "pieces"
+
+
+def _made(model: bytes) -> Pieces:
     made = Pieces(model)
     gc.freeze()  # its tables stay; the collector needn't walk them again and again
     return made
 
 
+def _worker(model: bytes) -> Pieces:
+    """One for each Python worker, so that units stay remembered between tasks."""
+    return held(HOLDS, model, lambda: _made(model))
+
+
 def read_model(spark: SparkSession, path: str = MODEL) -> bytes:
     """The bytes of the model's file, which lies on the driver or, with a scheme, in shared storage."""
     if "://" in path:
@@ -335,6 +341,7 @@ def encode(spark: SparkSession, docs: DataFrame, path: str = MODEL, pack: bool =
         docs.select("doc_id", "text"), run,
         f"doc_id {kind}, n_chars bigint, n_pieces bigint, best_score double, second_score double,"
         f" ids {'binary' if pack else 'array<int>'}, decoded string",
+        HOLDS,
     )
 
 
@@ -350,4 +357,4 @@ def decode(spark: SparkSession, encoded: DataFrame, path: str = MODEL) -> DataFr
                 text = [pieces.decode(x or []) for x in part.column("ids").to_pylist()]
                 yield {"doc_id": part.column("doc_id"), "text": text}
 
-    return map_batches(encoded.select("doc_id", "ids"), run, f"doc_id {kind}, text string")
+    return map_batches(encoded.select("doc_id", "ids"), run, f"doc_id {kind}, text string", HOLDS)

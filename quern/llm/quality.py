@@ -19,7 +19,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -130,8 +130,22 @@ class Discriminant:
         return 1 / (1 + np.exp(-odds.clip(-50, 50)))
 
 
-def moments(rows: DataFrame, label: str = "label") -> dict[int, tuple[float, np.ndarray, np.ndarray]]:
-    """Count, sums and sums of products by class, added up by Spark."""
+def _given(batch: pa.RecordBatch) -> list:
+    return batch.column("x").to_pylist()
+
+
+def _of_texts(batch: pa.RecordBatch) -> list:
+    return [statistics(t) for part in slices(batch) for t in part.column("text").to_pylist()]
+
+
+def moments(
+    rows: DataFrame, of: Callable[[pa.RecordBatch], list] = _given
+) -> dict[int, tuple[float, np.ndarray, np.ndarray]]:
+    """Count, sums and sums of products by class, added up by Spark.
+
+    ``rows`` has n0 and n1, how often each class counts, and what ``of`` makes the
+    statistics from.
+    """
     d = len(FEATURES)
     size = 1 + d + d * d
 
@@ -140,30 +154,38 @@ def moments(rows: DataFrame, label: str = "label") -> dict[int, tuple[float, np.
         for batch in batches:
             if not batch.num_rows:
                 continue
-            y = np.array(batch.column("y").to_pylist())
-            x = np.array(batch.column("x").to_pylist(), float).reshape(-1, d)
+            x = np.array(of(batch), float).reshape(-1, d)
             for c in (0, 1):
-                z = x[y == c]
-                total[c] += np.concatenate(([len(z)], z.sum(axis=0), (z.T @ z).ravel()))
+                n = np.array(batch.column(f"n{c}").to_pylist(), float)
+                z, n = x[n > 0], n[n > 0]
+                nz = z * n[:, None]
+                total[c] += np.concatenate(([n.sum()], nz.sum(axis=0), (nz.T @ z).ravel()))
         yield {
             "y": np.repeat([0, 1], size),
             "k": np.tile(np.arange(size), 2),
             "v": np.concatenate((total[0], total[1])),
         }
 
-    parts = map_batches(rows.select(F.col(label).cast("int").alias("y"), "x"), run, "y int, k int, v double")
+    parts = map_batches(rows, run, "y int, k int, v double")
     sums = {0: np.zeros(size), 1: np.zeros(size)}
     for y, k, v in parts.groupBy("y", "k").agg(F.sum("v")).collect():  # 2 x 157 numbers
         sums[y][k] = v
     return {c: (s[0], s[1 : d + 1], s[d + 1 :].reshape(d, d)) for c, s in sums.items()}
 
 
+def _marked(labels: DataFrame) -> DataFrame:
+    """doc_id, and for each label which it is (n0 or n1 is one, the other nought)."""
+    n = [(F.col("quality") == c).cast("long").alias(f"n{c}") for c in (0, 1)]
+    return labels.where("quality in (0, 1)").select("doc_id", *n)
+
+
 def learn(docs: DataFrame, labels: DataFrame) -> Discriminant:
-    """Fit on the labelled documents of the learning folds; only their statistics are computed."""
-    marked = labels.where("quality in (0, 1)").select("doc_id", F.col("quality").alias("label"))
-    known = docs.select("doc_id", "text").join(marked.select("doc_id").distinct(), "doc_id", "left_semi")
-    seen = features(known.where(crc_fold(F.col("doc_id"), FOLDS) != HELD_OUT))
-    return Discriminant.fit(moments(seen.join(marked, "doc_id")))
+    """Fit on the labelled documents of the learning folds; only their statistics are computed,
+    in one pass, so that a task needs one Python worker."""
+    known = docs.select("doc_id", "text").where(crc_fold(F.col("doc_id"), FOLDS) != HELD_OUT)
+    counts = _marked(labels).groupBy("doc_id").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    taught = known.join(counts, "doc_id").select("text", "n0", "n1")
+    return Discriminant.fit(moments(taught, _of_texts))
 
 
 def score(
@@ -175,9 +197,8 @@ def score(
     """doc_id, held_out, score and predicted for every row of ``docs``."""
     space = Workspace(spark, "quality")
     seen = space.save(features(docs), "features")
-    marked = labels.where("quality in (0, 1)").select("doc_id", F.col("quality").alias("label"))
-    taught = seen.where(F.col("fold") != HELD_OUT).join(marked, "doc_id")
-    model = Discriminant.fit(moments(taught))
+    taught = seen.where(F.col("fold") != HELD_OUT).join(_marked(labels), "doc_id")
+    model = Discriminant.fit(moments(taught.select("x", "n0", "n1")))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:

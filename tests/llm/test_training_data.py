@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import weakref
 import zlib
 from collections import Counter, defaultdict
 
@@ -230,6 +231,75 @@ def test_dedup_bounds_the_memory_of_its_stores(spark, monkeypatch):
     assert got[99] == got[3] == (99, 8) and got[0] == (49, 8) and len(got) == 51
 
 
+# ---------------------------------------------------------------- Python workers
+
+
+@pytest.fixture
+def caught(spark, monkeypatch):
+    """The functions that frames would send to Python workers, in order."""
+    found, frame = [], type(spark.range(0))
+    send = frame.mapInArrow
+
+    def noted(df, fn, *rest, **more):
+        found.append(fn)
+        return send(df, fn, *rest, **more)
+
+    monkeypatch.setattr(frame, "mapInArrow", noted)
+    return found
+
+
+def test_workers_let_go_of_what_another_operator_held(spark, caught, monkeypatch):
+    made = []
+    for module, name in ((pieces, "Pieces"), (decontamination, "Matcher")):
+
+        class Noted(getattr(module, name)):
+            def __init__(self, *args):
+                super().__init__(*args)
+                made.append(weakref.ref(self))
+
+        monkeypatch.setattr(module, name, Noted)
+    docs = spark.createDataFrame([(1, "one two three four"), (2, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(7, "two three")], "item_id long, text string")
+    batch = pa.record_batch({"doc_id": [1, 2], "text": ["one two three four", None]})
+    plain = pa.record_batch({"c0": [1, 2], "c1": ["one two three four", None]})
+    placed = batch.append_column("_file", pa.array(["f", "f"])).append_column("_row", pa.array([0, 1]))
+    alive = lambda: [x() is not None for x in made]
+
+    def run(batch):
+        return list(caught[-1](iter([batch])))
+
+    pieces.encode(spark, docs)
+    first, _ = run(batch), run(batch)
+    assert alive() == [True]  # units stay remembered between tasks
+    simhash.fingerprints(docs.withColumns({"_file": F.lit("f"), "_row": F.lit(0)}))
+    run(placed)
+    assert alive() == [False]
+    decontamination.clean(spark, docs, items)
+    assert [b.num_rows for b in run(plain)] == [1] and alive() == [False, True]
+    pieces.encode(spark, docs)
+    assert run(batch) == first and alive() == [False, False, True]
+    quality.keep_good(spark, docs, spark.createDataFrame([], "doc_id long, quality int"))
+    run(plain)
+    assert alive() == [False, False, False]
+
+
+def test_quality_learns_in_one_python_pass(spark, caught):
+    rows = [(k, f"Word {k} and {'more ' * (k % 9)}{k * k}.{'!?' * (k % 4)}") for k in range(60)] + [(61, None), (None, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = [(k, int(k % 4 < 2)) for k in range(0, 62)] + [(3, 0), (3, 0), (9, 1), (8, None), (7, 5), (None, 1), (99, 1)]
+    model = quality.learn(docs, spark.createDataFrame(marks, "doc_id long, quality int"))
+    assert len(caught) == 1
+    text, wanted = dict(rows), {}
+    for c in (0, 1):
+        x = np.array(
+            [quality.statistics(text[k]) for k, y in marks if y == c and k in text and k is not None and zlib.crc32(str(k).encode()) % 5]
+        )
+        wanted[c] = (len(x), x.sum(axis=0), x.T @ x)
+    right = quality.Discriminant.fit(wanted)
+    x = np.array([quality.statistics(t) for _, t in rows])
+    assert model.prior == right.prior and np.allclose(model.score(x), right.score(x))
+
+
 # ---------------------------------------------------------------- language model
 
 
