@@ -219,8 +219,8 @@ def _suggested(vocab: DataFrame, asked: DataFrame, cfg: dict, confusions: DataFr
     if confusions is None:
         found = S.candidates(asked, vocab, reach, cfg.get("require_same_first_letter", True))
         return S.suggest(found, F.levenshtein("query", "word"), n)
-    found = S.with_fallback(asked, vocab, reach).crossJoin(F.broadcast(S.costs(confusions)))  # one row
-    return S.suggest(found, T.weighted_distance(F.col("query"), F.col("word"), F.col("costs")), n)
+    found = S.weighted_nearest(asked, vocab, confusions, reach, n)
+    return S.suggest(found, F.col("distance"), n)
 
 
 def _confusions(spark: SparkSession, cfg: dict) -> DataFrame:
@@ -395,7 +395,8 @@ def p3_glove(spark: SparkSession, cfg: dict) -> dict:
         vectors = files.read_vectors(spark, str(cfg["existing_vectors_path"]))
     else:
         known = C.top(counts, "word", cfg.get("max_words", embeddings.MOST_WORDS))
-        pairs = M.windows(M.kept(rows, known), cfg.get("window_size", 5), weighted=True).withColumnRenamed("cnt", "weight")
+        listed = documents(spark, cfg).select(T.words(F.col("text"), cfg.get("lowercase", True)).alias("words"))
+        pairs = M.windows(listed, known, cfg.get("window_size", 5), weighted=True).withColumnRenamed("cnt", "weight")
         vectors = embeddings.factorise(pairs, cfg.get("vector_size", 100), cfg.get("max_iter", 15), most=cfg.get("x_max", 100)).persist()
     return _vector_report(cfg, vectors, counts)
 

@@ -56,7 +56,8 @@ conf AS (SELECT a, b, count(*) AS cnt FROM ch WHERE a <> b GROUP BY a, b)
 
 
 def vocabulary(spark, sf):
-    return C.frequencies(word_rows(spark, sf), "word")
+    """Persisted, as every use of it would read the texts again."""
+    return C.frequencies(word_rows(spark, sf), "word").persist()
 
 
 def _typos(vocab):
@@ -73,7 +74,7 @@ def spell_typos(spark, sf):
 
 @query("spell_candidates", f"{_CAND} SELECT query, count(*) AS n, sum(cnt)::bigint AS cnt FROM c GROUP BY query")
 def spell_candidates(spark, sf):
-    v = vocabulary(spark, sf).persist()
+    v = vocabulary(spark, sf)
     found = S.candidates(_typos(v).select("query").distinct(), v)
     return found.groupBy("query").agg(F.count(F.lit(1)).alias("n"), F.sum("cnt").alias("cnt"))
 
@@ -85,7 +86,7 @@ def spell_candidates(spark, sf):
         SELECT query, word, distance, cnt, rank FROM r WHERE rank <= 5""",
 )
 def spell_suggest(spark, sf):
-    v = vocabulary(spark, sf).persist()
+    v = vocabulary(spark, sf)
     found = S.candidates(_typos(v).select("query").distinct(), v)
     return S.suggest(found, F.levenshtein("query", "word")).select("query", "word", "distance", "cnt", "rank")
 
@@ -114,12 +115,10 @@ def confusion_top(spark, sf):
 
 
 def _weighted(spark, sf):
-    v = vocabulary(spark, sf).persist()
+    v = vocabulary(spark, sf)
     typos = _typos(v).persist()
-    found = S.with_fallback(typos.select("query").distinct(), v)
-    priced = found.crossJoin(F.broadcast(S.costs(_confusions(v).persist())))  # one row
-    distance = T.weighted_distance(F.col("query"), F.col("word"), F.col("costs"))
-    return S.suggest(priced, F.round(distance, 6)), typos
+    found = S.weighted_nearest(typos, v, _confusions(v), digits=6)
+    return S.suggest(found, F.round("distance", 6)), typos
 
 
 _PRICE = "coalesce(cm.m[query[i] || word[j]], 1.0)"
