@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -81,14 +82,18 @@ def body_of(html: str | None, shortest: int = 250, drop: str = "") -> str | None
 def bodies(pages: DataFrame, shortest: int = 250, drop: str = "") -> DataFrame:
     """page_id, url, title, datetime_raw, domain and text; too short ones are left out."""
 
-    @F.pandas_udf("string")
-    def body(html: pd.Series) -> pd.Series:
-        return html.map(lambda h: body_of(h, shortest, drop))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):  # one page at a time is a Python object
+                batch = whole.slice(at, 256)
+                text = pa.array((body_of(h.as_py(), shortest, drop) for h in batch.column(5)), pa.string())
+                yield pa.RecordBatch.from_arrays([*batch.columns[:5], text], names=[*batch.schema.names[:5], "text"])
 
     rows = pages.select(
         "page_id", "url", title(F.col("html")).alias("title"), raw_date(F.col("html")).alias("datetime_raw"),
-        F.try_parse_url("url", F.lit("HOST")).alias("domain"), body("html").alias("text"),
+        F.try_parse_url("url", F.lit("HOST")).alias("domain"), F.col("html").alias("text"),
     )
+    rows = rows.mapInArrow(run, rows.schema)
     return rows.where(F.length("text") >= shortest)
 
 
